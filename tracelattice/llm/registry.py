@@ -4,15 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelattice.llm import quality, simhash
+from tracelattice.llm import bpe, decontaminate, quality, secrets, simhash
 from tracelattice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "score", "item_words", "end_word")
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("findings", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    digest = F.sha2(secrets.span_text(base), 256).alias("base_sha256")
+    return out.select("doc_id", *map(n, secrets.BASE_KINDS), digest, secrets.span_text(F.col("findings")).alias("spans"))
+
+
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    out = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_simhash_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,7 +53,7 @@ def op9_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_simhash_anchor_covering, op9_quality_line_frequency)}
+    return {f.__name__: f for f in (op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
 
 
 OP9_SQL = r"""
