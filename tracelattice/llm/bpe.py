@@ -63,6 +63,10 @@ class Codec:
     def encode_pieces(self, pieces: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), np.int32)
 
+    def encode_text(self, text: str) -> np.ndarray:
+        """Ids of a text that is one chunk; the library cuts it by the pattern itself."""
+        return np.array(self.memory.encoding.encode_ordinary(text), np.int32)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -141,7 +145,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", ou
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, BATCH):
                 b = whole_batch.slice(at, BATCH)
-                yield pa.RecordBatch.from_arrays([b.column(0), lists([c.encode_pieces(c.pieces(t)) for t in b.column(1).to_pylist()])], names=[ROW, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), lists([c.encode_text(t) for t in b.column(1).to_pylist()])], names=[ROW, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,12 +9,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelattice.llm import bpe, decontaminate, quality, secrets, simhash
+from tracelattice import scratch
+from tracelattice.llm import bpe, chunkdedup, decontaminate, licences, quality, secrets, sharding, simhash, training_order, warc
 from tracelattice.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = scratch.new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc.captures(spark, archive)
+
+
+def op2_chunk_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "line", "family")
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = scratch.new_path(spark, "shards")
+    placed = training_order.materialise(table(spark, sf_dir, "documents"), shards, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    stored = training_order.read(spark, shards).select("slot", F.size("tokens").cast("bigint").alias("n_stored"), F.md5(F.array_join("tokens", ",")).alias("tokens_md5"))
+    return placed.join(stored, "slot").select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", "n_stored", "tokens_md5")
+
+
+def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return out.select(
+        "doc_id", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "score", "item_words", "end_word")
@@ -53,8 +84,18 @@ def op9_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
+    return {f.__name__: f for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_lines, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
+
 
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 1) AS INTEGER)), 4, '0')), 'string_agg', '') AS b FROM d)
+SELECT page_id, strlen(h) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_aggregate(list_transform(range(0, 5), lambda j: CAST(substr(b, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER)), 'sum') + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM bits
+"""
 
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
@@ -79,4 +120,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_line_frequency": OP9_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op9_quality_line_frequency": OP9_SQL}
