@@ -32,7 +32,7 @@ from tracelattice import scratch
 from tracelattice.llm import bpe
 from tracelattice.llm.common import RID
 
-LENGTH, ROWS, WAVES = 256, 16_384, 4
+LENGTH, ROWS, WAVES = 256, 16_384, 2
 FILL, END = 65535, "\n"
 ROUNDS = 6
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
