@@ -4,16 +4,17 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from tracelattice import scratch
 from tracelattice.plans.catalogue import DURATION, FANOUT, HEIGHT, ONE_CALL, SLOW_ROOT
 from tracelattice.plans.planner import search
-from tracelattice.sources.derived import order_spans, read_spans, write_spans
+from tracelattice.session import configure
+from tracelattice.sources.derived import order_spans, save_spans
 
 RUNS = 10
 
@@ -22,13 +23,13 @@ def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    path = scratch.new_path(spark, "bench")
+    configure(spark)
     began = time.time()
-    write_spans(order_spans(spark, sf), path)
-    spans, load = read_spans(spark, path), time.time() - began
+    spans = save_spans(order_spans(spark, sf), "spans", int(cpus))
+    load = time.time() - began
     queries, rows = {}, {}
     for name, pattern, conditions in (("one_call", ONE_CALL, []), ("fanout", FANOUT, []), ("height", HEIGHT, []), ("duration", DURATION, [SLOW_ROOT])):
         taken = []

@@ -86,3 +86,27 @@ def test_otlp_files(spark, tmp_path):
     r = read_otlp(spark, str(tmp_path)).collect()
     assert len(r) == 1 and r[0].service == "svc" and r[0].batch == "00-0-9" and r[0].trace_id == "0" * 31 + "1" and r[0].parent_span_id is None
     assert (r[0].start_ns, r[0].end_ns) == (5, 9) and [tuple(a) for a in r[0].attributes] == [("n", "int", "7"), ("o", None, None)]
+
+
+def test_stored_spans_join_without_a_shuffle(spark, tmp_path):
+    from tracelattice.operators.pattern import match
+    from tracelattice.session import configure
+    from tracelattice.sources.derived import read_spans, save_spans, write_spans
+
+    df = frame(spark, rows() + [span(f"t{i}", f"c{i}", f"{i}", "Y", batch=f"{i % 4:02d}-{i // 4 * 400}-{i // 4 * 400 + 399}") for i in range(40)])
+    p = TracePattern({0: "X", 1: "Y"}, [(0, 1)])
+    spark.sql("drop table if exists spans_test")
+    stored = save_spans(df, "spans_test", 4)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        configure(spark)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = match(stored, p)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 40
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table if exists spans_test")
+    write_spans(df, str(tmp_path / "s"))
+    assert match(read_spans(spark, str(tmp_path / "s")), p).count() == 40
