@@ -2,7 +2,7 @@
 
 Each distinct text is a blob, named by the SHA-256 of its bytes.  The ledger holds what each rule version
 found in each blob; only (blob, rule version) pairs that it lacks are scanned, and findings go back to all
-rows of a blob.  Equal texts collapse before the shuffle, so copies cost one row per task; the join back
+rows of a blob.  What is new is found by names alone, before texts are joined to it.  Equal texts collapse before the shuffle, so copies cost one row per task; the join back
 reads the written ledger, and a blob of a third of all rows is a skewed join that Spark splits.
 
 Each run writes its own folder of the ledger, so a run that fails leaves nothing behind.
@@ -73,10 +73,12 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame
     """Scan what the ledger lacks, append it, and return the blobs that were scanned."""
     spark = docs.sparkSession
     t = whole(F.col(f"`{text}`"))
-    blobs = docs.select(F.unhex(F.sha2(t, 256)).alias("blob"), t.alias("t")).groupBy("blob").agg(F.first("t").alias("t"))
-    seen = ledger_rows(spark, ledger).where(F.col("version") == RULE_VERSION)
-    if not seen.isEmpty():
-        blobs = blobs.join(seen.select("blob").hint("merge"), "blob", "left_anti")
+    rows = docs.select(F.unhex(F.sha2(t, 256)).alias("blob"), t.alias("t"))
+    seen = ledger_rows(spark, ledger).where(F.col("version") == RULE_VERSION).select("blob")
+    if not seen.isEmpty():  # names alone decide what is new; Spark can then filter texts before they move
+        new = scratch.materialise(rows.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        rows = rows.join(new, "blob", "left_semi")
+    blobs = rows.groupBy("blob").agg(F.first("t").alias("t"))
     return scratch.materialise(scan_blobs(blobs), "scan", at=f"{ledger}/run={uuid.uuid4().hex}")
 
 
