@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tracelattice import scratch
 from tracelattice.llm.common import RID, pack, unpack
 
-BUCKET_ROWS = 65_536
+BUCKET_ROWS = 16_384
 LIMIT = 10**9  # fixed value: numpy draws from populations below this
 
 
