@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Lets joins on (batch, trace_id, span id) use rows that are dealt by (batch, trace_id) already, so
@@ -13,3 +21,19 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, for where they cannot import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tracelattice-code-")  # the driver serves the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/tracelattice_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
