@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracelattice import scratch
 from tracelattice.llm import bpe, chunkdedup, decontaminate, licences, quality, secrets, sharding, simhash, training_order, warc
 from tracelattice.llm.common import table
+from tracelattice.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,8 +84,18 @@ def op9_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
+def shipped(query: Query) -> Query:
+    """The query, run where executors can import this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_lines, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
+    return {f.__name__: shipped(f) for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_lines, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
 
 
 OP1_SQL = f"""
