@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracelattice import scratch
 from tracelattice.llm.common import RID, whole
 
-LEAST, MOST, BITS = 16, 256, 5
+LEAST, MOST, BITS = 16, 256, 4
 MIN_WORDS = 25
 GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -42,7 +42,7 @@ def cuts(data: bytes) -> list[int]:
     h = GEAR[b]
     for k in (1, 2, 4, 8):  # after each step the hash covers twice as many bytes
         h[k:] = h[k:] + (h[:-k] << np.uint32(k)) if len(h) > k else h[k:]
-    # 16 bytes are in; the bits from 11 to 15 depend on 12 to 16 of them.
+    # 16 bytes are in; the top BITS of its low 16 bits depend on nearly all of them.
     mark = (h >> np.uint32(16 - BITS)) & np.uint32((1 << BITS) - 1) == 0
     inside = (b & 0xC0) == 0x80  # continuation bytes: no cut before them
     mark[:-1] &= ~inside[1:]
