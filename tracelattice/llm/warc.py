@@ -178,4 +178,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = scratch.materialise(rows, "captures")
     found = rows.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
-    return rows.join(found, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # Only records that name another are joined: a null key of all the rest would be one partition.
+    alone = rows.where("target is null").withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns)
+    return rows.where("target is not null").join(found, "target", "left").select(*columns).unionByName(alone)
