@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelattice import scratch
-from tracelattice.functions.scalars import batch_bounds, seconds
+from tracelattice.functions.scalars import as_text, batch_bounds, batch_of_object, floor_to, latency, seconds, split_tokens, strip_last
 from tracelattice.model import ANY_SERVICE, Compare, Condition, IndexKind, Returning, TracePattern, Window
 from tracelattice.operators import batches as B
 from tracelattice.operators import counts, structure
@@ -179,6 +179,46 @@ add(
     "SELECT span_id AS span_hex, CAST('0x' || span_id AS BIGINT) AS span_number FROM spans",
 )
 add("ns_to_s", lambda s: s.select("span_id", seconds(F.col("start_ns")).alias("start_s")), "SELECT span_id, start_ns // 1000000000 AS start_s FROM spans")
+add("list_batches_sorted", lambda s: B.batches(s).orderBy("start_s", "batch"), "SELECT DISTINCT batch, b_start AS start_s, b_end AS end_s FROM spans ORDER BY start_s, batch")
+add(
+    "root_times",
+    lambda s: B.roots(s).select("batch", "trace_id", seconds(F.col("start_ns")).alias("start_s"), seconds(F.col("end_ns")).alias("end_s")),
+    "SELECT batch, trace_id, start_ns // 1000000000 AS start_s, end_ns // 1000000000 AS end_s FROM spans WHERE parent_span_id IS NULL",
+)
+THREE = [f"{k:032x}" for k in (7, 1, (1 << 128) - 1)]
+add(
+    "text_any_trace",
+    lambda s: text.any_trace(text.parse_blocks(text.to_blocks(s)), THREE).select("trace_id", "span_id", "service"),
+    f"SELECT trace_id, span_id, service FROM spans WHERE trace_id = (SELECT min(struct_pack(batch := batch, trace_id := trace_id)).trace_id FROM spans WHERE trace_id IN ({', '.join(map(repr, THREE))}))",
+)
+add(
+    "property_text",
+    lambda s: s.select(
+        as_text(F.unhex("span_id"), "bytes").alias("id_text"), as_text(F.col("parent_span_id").isNull(), "bool").alias("root_text"),
+        as_text(latency(F.col("start_ns"), F.col("end_ns")) / F.lit(1e6), "double").alias("ms_text"), as_text(F.col("start_ns"), "int").alias("start_text"),
+    ),
+    "SELECT span_id AS id_text, CAST(parent_span_id IS NULL AS VARCHAR) AS root_text, printf('%.6f', (end_ns - start_ns) / 1e6) AS ms_text, CAST(start_ns AS VARCHAR) AS start_text FROM spans",
+)
+add(
+    "batch_name_parts",
+    lambda s: s.select("batch").distinct().select(
+        batch_of_object(F.concat(F.lit("spans/"), "batch")).alias("batch"), F.get(split_tokens(F.concat("batch", F.lit("\n")), "-"), 2).alias("last"), strip_last(F.col("batch"), "9").alias("stripped")
+    ),
+    "SELECT DISTINCT batch, string_split(batch, '-')[3] AS last, CASE WHEN suffix(batch, '9') THEN left(batch, length(batch) - 1) ELSE batch END AS stripped FROM spans",
+)
+add(
+    "time_buckets",
+    lambda s: s.groupBy(floor_to(seconds(F.col("start_ns")), ranges.NODE_S).alias("node_start"), floor_to(seconds(F.col("start_ns")), ranges.NODE_S * ranges.NODES_PER_SUMMARY).alias("summary_start")).agg(F.count("*").alias("n_spans")),
+    "SELECT x - x % 100 AS node_start, x - x % 500 AS summary_start, count(*) AS n_spans FROM (SELECT start_ns // 1000000000 AS x FROM spans) GROUP BY 1, 2",
+)
+add("search_bad_window", lambda s: search(s, ONE_CALL, Window(YEAR.end_s, YEAR.start_s)), "SELECT batch, trace_id FROM spans WHERE false")
+BY_ID = Condition(0, "trace_id", Compare.EQ, f"{367:032x}")
+add("pattern_trace_id", lambda s: search(s, CANONICAL, conditions=[BY_ID]), traces_sql(CANONICAL, f"AND n0.trace_id = '{BY_ID.value}'"))
+add(
+    "return_span_id",
+    lambda s: search(s, DURATION, returning=Returning(2, "span_id")).select("trace_id", F.col("value").alias("span_id")),
+    "SELECT n0.trace_id AS trace_id, n2.span_id AS span_id " + joined(DURATION.nodes, DURATION.edges),
+)
 
 # Structural classes
 _HASH_SQL = """,
@@ -197,6 +237,11 @@ add(
     lambda s: structure.exemplars(structure.structure_hashes(s, 4)),
     _HASH_SQL + "SELECT structure_hash, m.batch AS batch, m.trace_id AS trace_id FROM (SELECT structure_hash, min(struct_pack(batch := batch, trace_id := trace_id)) AS m FROM th GROUP BY 1)",
 )
+add(
+    "class_sizes",
+    lambda s: structure.structure_hashes(s, 4).groupBy("structure_hash").agg(F.count("*").alias("n_traces")),
+    _HASH_SQL + "SELECT structure_hash, count(*) AS n_traces FROM th GROUP BY 1",
+)
 
 
 def class_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,6 +283,11 @@ add(
     lambda s: inverted.large_values(inverted.build(s, ["brand"]), "brand", 20_000),
     "SELECT attr_value, count(*) * 32 AS n_bytes, min(b_start) AS start_s, max(b_end) AS end_s FROM (SELECT DISTINCT attr_value, batch, trace_id, b_start, b_end FROM spans WHERE attr_key = 'brand') GROUP BY 1 HAVING count(*) * 32 >= 20000",
 )
+add(
+    "inverted_sizes",
+    lambda s: inverted.build(s).groupBy("attr_key", "attr_value").agg(F.count("*").alias("n_ids")),
+    "SELECT attr_key, attr_value, count(*) AS n_ids FROM (SELECT DISTINCT attr_key, attr_value, batch, trace_id FROM spans) GROUP BY 1, 2",
+)
 
 # Range index
 add(

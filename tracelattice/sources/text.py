@@ -23,6 +23,13 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def any_trace(edges: DataFrame, trace_ids: list[str]) -> DataFrame:
+    """The edges of one of the given traces: the smallest (batch, trace id) that is there; no rows if none is."""
+    there = edges.where(F.col("trace_id").isin(trace_ids))
+    first = there.agg(F.min(F.struct("batch", "trace_id")).alias("m")).select("m.*")
+    return there.join(first, ["batch", "trace_id"], "left_semi")
+
+
 def to_blocks(spans: DataFrame) -> DataFrame:
     """One text block per trace, root first."""
     line = F.concat_ws(":", F.coalesce("parent_span_id", F.lit("")), "span_id", "service", F.lit(""))
