@@ -71,7 +71,8 @@ def base_failed() -> Column:
 def frequent_lines(measured: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, h) of lines in more than ``max_docs`` distinct documents of a host.
 
-    Copies of one document, exact or edited, share their longest line and count once.
+    Documents are told apart by their longest line, so copies that share it count once.  Edits of that line
+    make copies distinct, and a line that is the longest of each document that has it counts once.
     """
     once = measured.select("host", "identity", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     return once.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "h")
