@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tracelattice.functions import scalars as S
 from tracelattice.operators.indices.ranges import split_node
+from tracelattice.sources.text import any_trace
 
 
 def test_time_prefixes():
@@ -35,3 +36,11 @@ def test_text_functions(spark):
 def test_property_text(spark):
     got = spark.range(1).select(S.as_text(F.lit(1.5), "double"), S.as_text(F.lit(True), "bool"), S.as_text(F.unhex(F.lit("0A")), "bytes"), S.seconds(F.lit(1_999_999_999))).first()
     assert tuple(got) == ("1.500000", "true", "0a", 1)
+
+
+def test_any_trace(spark):
+    rows = [("b2", "t1", "s1"), ("b1", "t3", "s2"), ("b1", "t2", "s3"), ("b1", "t2", "s3"), (None, None, None)]
+    edges = spark.createDataFrame(rows, "batch string, trace_id string, span_id string")
+    assert [r["span_id"] for r in any_trace(edges, ["t1", "t2", "t9"]).collect()] == ["s3", "s3"]
+    assert any_trace(edges, ["t9"]).count() == 0
+    assert any_trace(edges.limit(0), ["t1"]).count() == 0
