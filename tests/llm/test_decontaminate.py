@@ -64,3 +64,26 @@ def test_empty_tables(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert D.find(none, b).count() == 0
     assert D.find(spark.createDataFrame(docs, "doc_id long, text string"), b.limit(0)).count() == 0
+
+
+def test_dense_edits_are_found(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(15, 60)))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        for every in (3, 4, 5, 6):
+            for insert in (False, True):
+                w = t.split()
+                for k in range(len(w) // every * every - 1, 0, -every):
+                    w[k : k + (not insert)] = [f"edit{k}"]
+                body = [r.choice(vocabulary) for _ in range(r.choice((0, 30, 900)))]
+                at = r.randint(0, len(body))
+                docs.append((len(docs), " ".join([*body[:at], *w, *body[at:]])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for k, t in docs:
+        x = np.array([hash(w) for w in t.split()])
+        want |= {(k, i, s) for i, u in items if (s := D.align(np.array([hash(w) for w in u.split()]), x)[0]) >= D.LEAST * D.MATCH * len(u.split())}
+    assert {(r.doc_id, r.item_id, r.score) for r in D.find(d, b).collect()} == want
+    assert {k for k, _, _ in want} >= {k for k in range(len(docs)) if k % 8 > 1}

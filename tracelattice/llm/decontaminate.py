@@ -1,17 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: exact bounds by words, then Smith-Waterman alignment.
 
 The test items are the query set.  They are taken in blocks of at most ``BLOCK_WORDS`` words, so what is
 sent to the executors has a fixed bound; each block costs one pass over the texts, and no text is
-shuffled.
+shuffled or written.
 
-1. Each text becomes numbers: the item vocabulary's, 0 for any other word.  Texts that hold an n-gram of
-   an item are written with these numbers (not with their text).
-2. An n-gram's document frequency is a partial aggregation over those rows.  Of every ``WINDOW``
-   consecutive n-grams of an item the rarest is a seed; so every item keeps seeds, however often it was
-   copied, and common phrases seed only where nothing rarer is near.
-3. Seeds join a text to items and to the place where the item would lie.  There the item is aligned; the
-   score (match 2, mismatch and gap -1) is kept if it reaches ``LEAST`` of the item's best.  Places whose
-   words cannot reach that are left out before, by an exact bound.
+1. Each text becomes numbers: the item vocabulary's, 0 for any other word.  It is cut into segments that
+   overlap by the longest stretch that an alignment can cover, so each alignment lies whole in one.
+2. Two bounds leave out items that no alignment in a segment can reach: the words of the item that the
+   segment has at all, and the best stretch if each word of the item counts as a match, wherever it is.
+   Both are upper bounds of the score, so nothing that reaches ``LEAST`` is lost, however dense the edits.
+3. What is left is aligned; the score (match 2, mismatch and gap -1) is kept if it reaches ``LEAST`` of the
+   item's best.
 
 Defined cases: null texts are empty; an item of fewer than ``N`` words matches nothing; repeated
 documents or items are each reported; null ids are reported as null; no documents or items: no rows.
@@ -20,7 +19,6 @@ documents or items are each reported; null ids are reported as null; no document
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelattice import scratch
 from tracelattice.llm.common import RID, whole
 
-N, WINDOW = 3, 4
+N = 3
 LEAST = 0.5
 MATCH, MISS, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000
 SCAN_ROWS = 512
+CELLS = 1 << 20  # items times words that are bounded at a time
 WORD = re.compile(r"\w+")
 
 
@@ -44,48 +42,50 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of items as numbers, and their n-grams."""
+    """A block of items as numbers, and the items of each word; those of fewer than ``N`` words are left out."""
 
     def __init__(self, items: list[tuple[int | None, list[str]]]) -> None:
-        self.items = items
+        self.items = [x for x in items if len(x[1]) >= N]
         self.number: dict[str, int] = {}
-        self.ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64) for _, words in items]
-        self.base = len(self.number) + 1
-        self.grams = [self.grams_of(x) for x in self.ids]
-        self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.int64)]))
+        self.ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64) for _, words in self.items]
+        self.length = np.array([len(x) for x in self.ids], np.int64)
+        self.least = LEAST * MATCH * self.length
+        #: Words of a text that an alignment can cover: all of the item's, and as many others as its score can bear.
+        self.span = int((self.length + MATCH * self.length - self.least).max(initial=1))
+        own = [np.unique(x, return_counts=True) for x in self.ids]
+        word = np.concatenate([*(w for w, _ in own), np.zeros(0, np.int64)])
+        order = np.argsort(word, kind="stable")
+        self.item_of = np.repeat(np.arange(len(own)), [len(w) for w, _ in own])[order] if own else word
+        self.times = np.concatenate([*(n for _, n in own), np.zeros(0, np.int64)])[order]
+        self.starts = np.searchsorted(word[order], np.arange(len(self.number) + 2))
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.number.get
         return np.array([get(w, 0) for w in words], np.int64)
 
-    def grams_of(self, ids: np.ndarray) -> np.ndarray:
-        """One number for each n-gram, 0 where a word is no item's."""
-        if len(ids) < N:
-            return np.zeros(0, np.int64)
-        code = np.zeros(len(ids) - N + 1, np.int64)
-        full = np.ones(len(code), bool)
-        for k in range(N):
-            part = ids[k : k + len(code)]
-            code = code * self.base + part
-            full &= part > 0
-        return np.where(full, code, 0)
-
-    def hits(self, ids: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """Positions of a text's n-grams that are ``among`` (sorted)."""
-        code = self.grams_of(ids)
-        if not len(code) or not len(among):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(among, code), len(among) - 1)
-        return np.flatnonzero((among[at] == code) & (code > 0))
-
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """n-gram to its (item, position): of each window the rarest, the first of equals."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, grams in enumerate(self.grams):
-            rank = [(frequency.get(g, 0), k) for k, g in enumerate(grams.tolist())]
-            chosen = {min(rank[k : k + WINDOW])[1] for k in range(max(1, len(rank) - WINDOW + 1))} if rank else set()
-            for k in sorted(chosen):
-                out[int(grams[k])].append((i, k))
+    def reachable(self, ids: np.ndarray) -> list[int]:
+        """Items whose alignment with ``ids`` may reach the least score."""
+        known, where = np.unique(ids, return_inverse=True)
+        first, n = self.starts[known], self.starts[known + 1] - self.starts[known]
+        n[known == 0] = 0
+        column = np.repeat(np.arange(len(known)), n)
+        at = np.arange(len(column)) - np.repeat(np.cumsum(n) - n - first, n)
+        item = self.item_of[at]
+        have = np.bincount(item, self.times[at], minlength=len(self.ids))
+        some = np.flatnonzero(MATCH * have >= self.least)
+        out: list[int] = []
+        step = max(1, CELLS // max(1, len(ids)))
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
+            row = np.full(len(self.ids), -1, np.int32)
+            row[part] = np.arange(len(part))
+            mine = row[item] >= 0
+            gain = np.full((len(part), len(known)), MISS, np.int32)
+            gain[row[item[mine]], column[mine]] = MATCH
+            total = np.zeros((len(part), len(ids) + 1), np.int32)
+            np.cumsum(gain[:, where], axis=1, out=total[:, 1:])
+            best = (total - np.minimum.accumulate(total, axis=1)).max(axis=1)
+            out += part[best >= self.least[part]].tolist()
         return out
 
 
@@ -104,36 +104,17 @@ def align(item: np.ndarray, place: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def places(hits: list[tuple[int, int, int]], length: int, items: Items) -> Iterator[tuple[int, int, int]]:
-    """(item, from, to) where an item may lie, from (item, position in the item, position in the text)."""
-    by_item: dict[int, list[int]] = defaultdict(list)
-    for item, k, at in hits:
-        by_item[item].append(at - k)
-    for item, offsets in by_item.items():
-        n = len(items.ids[item])
-        offsets.sort()
-        first = last = offsets[0]
-        for x in [*offsets[1:], None]:
-            if x is not None and x - last <= n:
-                last = x
-                continue
-            yield item, max(0, first - n // 2), min(length, last + n + n // 2)
-            first = last = x
-
-
-def contaminations(ids: np.ndarray, seeds: dict[int, list[tuple[int, int]]], among: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+def contaminations(ids: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
     """(item, score, end) of every item that a text holds; the best place of each."""
-    codes = items.grams_of(ids)
-    found = [(i, k, at) for at in items.hits(ids, among).tolist() for i, k in seeds[int(codes[at])]]
     best: dict[int, tuple[int, int]] = {}
-    for item, a, b in places(found, len(ids), items):
-        target, place = items.ids[item], ids[a:b]
-        least = LEAST * MATCH * len(target)
-        if MATCH * int(np.isin(target, place).sum()) < least:
-            continue  # no alignment can match more words than the place has
-        score, end = align(target, place)
-        if score >= least and score > best.get(item, (0, 0))[0]:
-            best[item] = score, a + end
+    if not items.ids:
+        return
+    for a in range(0, max(1, len(ids) - items.span), 2 * items.span):
+        place = ids[a : a + 3 * items.span]
+        for item in items.reachable(place):
+            score, end = align(items.ids[item], place)
+            if score >= items.least[item] and score > best.get(item, (0, 0))[0]:
+                best[item] = score, a + end
     yield from ((i, s, e) for i, (s, e) in best.items())
 
 
@@ -156,44 +137,22 @@ def find_block(docs: DataFrame, items: Items, text: str, key: str) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, SCAN_ROWS):
                 b = whole_batch.slice(at, SCAN_ROWS)
-                keep, ids, grams = [], [], []
-                for i, t in enumerate(b.column(2).to_pylist()):
-                    x = items.numbers(words_of(t))
-                    hit = items.hits(x, items.known)
-                    if len(hit):
-                        keep.append(i)
-                        ids.append(x.astype(np.int32))
-                        grams.append(np.unique(items.grams_of(x)[hit]))
-                take = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(ids, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["row", "key", "ids", "grams"])
+                out = [(i, *c) for i, t in enumerate(b.column(2).to_pylist()) for c in contaminations(items.numbers(words_of(t)), items)]
+                take = pa.array([o[0] for o in out], pa.int64())
+                numbers = lambda v: pa.array(v, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), numbers([items.items[o[1]][0] for o in out]), numbers([o[2] for o in out]), numbers([len(items.ids[o[1]]) for o in out]), numbers([o[3] for o in out])],
+                    names=["row", "key", "item_id", "score", "item_words", "end_word"],
+                )
 
     source = docs.select(F.monotonically_increasing_id() if RID not in docs.columns else F.col(RID), F.col(f"`{key}`").alias("key"), whole(F.col(f"`{text}`")))
     key_type = docs.schema[key].dataType.simpleString()
-    hit = scratch.materialise(source.mapInArrow(numbered, f"row long, key {key_type}, ids array<int>, grams array<long>"), "numbers")
-    frequency = {r["g"]: r["n"] for r in hit.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}  # at most BLOCK_WORDS rows
-    seeds = spark.sparkContext.broadcast(dict(items.seeds(frequency)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, chosen = shared.value, seeds.value
-        among = np.array(sorted(chosen), np.int64)
-        for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                x = b.column(2)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-                out += [(i, *c) for c in contaminations(x, chosen, among, items)]
-            take = pa.array([o[0] for o in out], pa.int64())
-            numbers = lambda v: pa.array(v, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), numbers([items.items[o[1]][0] for o in out]), numbers([o[2] for o in out]), numbers([len(items.ids[o[1]]) for o in out]), numbers([o[3] for o in out])],
-                names=["row", "key", "item_id", "score", "item_words", "end_word"],
-            )
-
-    return hit.mapInArrow(score, f"row long, key {key_type}, item_id long, score long, item_words long, end_word long")
+    return source.mapInArrow(score, f"row long, key {key_type}, item_id long, score long, item_words long, end_word long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
