@@ -110,3 +110,15 @@ def test_counts(spark):
     df = frame(spark, [span("t", "1", None, "X"), span("t", "2", "1", "X"), span("u", "1", None, "X")])
     assert tuple(counts.traces_and_spans(df).first()) == (2, 3)
     assert tuple(counts.traces_and_spans(df.limit(0)).first()) == (0, 0)
+
+
+def test_traces_deeper_than_their_hash_are_matched_by_themselves(spark):
+    chain = lambda t, n, last: [span(t, f"{t}.{i}", f"{t}.{i - 1}" if i else None, last if i == n - 1 else "X") for i in range(n)]
+    df = frame(spark, chain("a", 12, "Y") + chain("b", 12, "Z") + chain("c", 12, "Y") + chain("d", 3, "Y") + chain("e", 3, "Y") + chain("f", 8, "Y") + chain("g", 8, "Y"))
+    hashes = structure.structure_hashes(df, 8)
+    for label, want in (("Y", "acdefg"), ("Z", "b")):
+        p = TracePattern({0: "X", 1: label}, [(0, 1)])
+        assert sorted(r.trace_id for r in structure.traces_by_class(df, hashes, p).collect()) == list(want)
+        assert sorted(r.trace_id for r in search(df, p, hashes=hashes).collect()) == list(want)
+    of = {r.trace_id: r.structure_hash for r in hashes.collect()}
+    assert of["d"] == of["e"] and of["f"] == of["g"] and len(set(of.values())) == 5

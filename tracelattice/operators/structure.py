@@ -13,11 +13,14 @@ def structure_hashes(spans: DataFrame, depth: int) -> DataFrame:
     """(structure_hash, batch, trace_id): an order-free hash of each trace's labelled tree.
 
     A span's hash covers its service and its children's sorted hashes.  ``depth`` is the number of
-    levels; deeper calls are cut off, which only merges classes.
+    levels; a trace with deeper calls is a class of its own, so it is matched by itself.
     """
     nodes = spans.select(*KEYS, "span_id", "parent_span_id", "service")
     leaf = F.md5(F.concat("service", F.lit("()")))
-    hashed = nodes.withColumn("h", leaf)
+    parents = nodes.where(F.col("parent_span_id").isNotNull()).select(*KEYS, F.col("parent_span_id").alias("span_id"), F.lit(True).alias("calls")).distinct()
+    # This hash stays only at the last level; calls below it are not seen, so it names the trace.
+    own = F.md5(F.concat("service", F.lit("(..."), F.to_json(F.struct(*KEYS)), F.lit(")")))
+    hashed = nodes.join(parents, [*KEYS, "span_id"], "left").withColumn("h", F.when(F.col("calls"), own).otherwise(leaf)).drop("calls")
     for _ in range(depth - 1):
         kids = (
             hashed.where(F.col("parent_span_id").isNotNull())
