@@ -3,8 +3,10 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.test_bpe import LIBRARY, PATH
+from tracelattice.llm import registry
 from tracelattice.llm import training_order as O
 
 
@@ -38,3 +40,40 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path, waves):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert O.materialise(df, str(tmp_path / "s"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tasks_have_whole_shards_and_share_them_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "TASK_BYTES", 700)  # two shards of ten records of 33 bytes
+    df = spark.createDataFrame([(i, "alpha beta " * 40) for i in range(128)], "doc_id long, text string").repartition(4)
+    path = tmp_path / "s"
+    O.materialise(df, str(path), PATH, public_tokenizers.PATTERN, 5, length=16, rows=10, waves=1)
+    files = [f for f in path.rglob("part-*") if f.suffix != ".crc"]
+    tasks = {f.name.split("-")[1] for f in files}
+    shards = {f.parent.name for f in files}
+    assert len(files) == len(shards) and len(tasks) == -(-len(shards) // 2)
+
+
+def test_ids_must_fit_a_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "FILL", 100)
+    df = spark.createDataFrame([(1, "many other words")], "doc_id long, text string")
+    with pytest.raises(Exception, match="do not fit"):
+        O.materialise(df, str(tmp_path / "s"), PATH, public_tokenizers.PATTERN)
+
+
+def test_a_lost_slot_is_an_error(spark):
+    placed = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, slot long, shard long")
+    stored = spark.createDataFrame([(0, [1])], "slot long, tokens array<int>")
+    assert O.verified(placed.where("slot = 0"), stored).first().tokens == [1]
+    for a, b in ((placed, stored), (placed.where("slot = 1"), stored)):
+        with pytest.raises(Exception, match="slot 1|slot 0"):
+            O.verified(a, b).collect()
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    data = [*texts()[:20], "again", "again"]
+    spark.createDataFrame([(i if i != 3 else None, t, "x") for i, t in enumerate(data)], "doc_id long, text string, tokens string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op3_training_order(spark, str(tmp_path)).collect()
+    want = {(i if i != 3 else None, k // O.LENGTH): ids[k : k + O.LENGTH] for i, t in enumerate(data) for ids in [LIBRARY.encode_ordinary(t or "")] for k in range(0, len(ids), O.LENGTH)}
+    hashes = {tuple(r.t): r.h for r in spark.createDataFrame([(v,) for v in want.values()], "t array<int>").select("t", F.xxhash64("t").alias("h")).collect()}
+    assert sorted(r.slot for r in got) == list(range(len(want))) and all((r.shard, r.offset) == (0, r.slot * (2 * O.LENGTH + 1)) for r in got)
+    assert {(r.doc_id, r.seq): (r.n_tokens, r.n_stored, r.tokens_hash) for r in got} == {k: (len(v), len(v), hashes[tuple(v)]) for k, v in want.items()}

@@ -34,8 +34,8 @@ def op5_licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = scratch.new_path(spark, "shards")
     placed = training_order.materialise(table(spark, sf_dir, "documents"), shards, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    stored = training_order.read(spark, shards).select("slot", F.size("tokens").cast("bigint").alias("n_stored"), F.xxhash64("tokens").alias("tokens_hash"))
-    return placed.join(stored, "slot").select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", "n_stored", "tokens_hash")
+    stored = training_order.read(spark, shards).select("slot", F.struct(F.size("tokens").cast("bigint").alias("n"), F.xxhash64("tokens").alias("hash")).alias("tokens"))
+    return training_order.verified(placed, stored).select("doc_id", "seq", "n_tokens", "slot", "shard", "offset", F.col("tokens.n").alias("n_stored"), F.col("tokens.hash").alias("tokens_hash"))
 
 
 def op4_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

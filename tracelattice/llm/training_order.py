@@ -10,11 +10,13 @@
    ``s % rows * stride`` of shard ``s // rows``, and reading resumes anywhere.
 
 Shards are written in ``waves``, each of a range of slots, so that only a part of the data is in shuffle
-files at a time; a task holds one shard at most.  The sink is Spark's text writer, whose strings are raw
+files at a time.  Rows are dealt by ranges of whole shards: a task has one shard, or several that together
+hold ``TASK_BYTES`` at most, and sorts them with spill.  The sink is Spark's text writer, whose strings are raw
 bytes, so shards go to any store that Spark writes.
 
-Defined cases: null and empty texts have no sequence; repeated rows are separate sequences; null keys are
-carried; an empty table writes nothing.
+Defined cases: null and empty texts have no sequence; a very long text has many, encoded in many tasks;
+repeated rows are separate sequences; null keys are carried; other columns are left out; an empty table writes
+nothing.  Ids from 65535 on are an error, since a record could not hold them.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ from pyspark.sql import types as T
 
 from tracelattice import scratch
 from tracelattice.llm import bpe
-from tracelattice.llm.common import RID
+from tracelattice.llm.common import RID, ROW, whole
 
 LENGTH, ROWS, WAVES = 256, 16_384, 2
+TASK_BYTES = 128 << 20  # of records that a task sorts and writes, where shards are smaller
 FILL, END = 65535, "\n"
 ROUNDS = 6
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -63,28 +66,25 @@ def slots(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, rank_path: str, pattern: str, text: str, key: str, length: int) -> DataFrame:
-    """(key, seq, n_tokens, tokens): the ids of each text in pieces of ``length``."""
-    ids = bpe.encode(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), rank_path, pattern)
-    key_type = docs.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, bpe.BATCH):
-                b = whole_batch.slice(at, bpe.BATCH)
-                take, seq, size, raw = [], [], [], []
-                for i, row in enumerate(b.column(1)):
-                    tokens = row.values.to_numpy(zero_copy_only=False)
-                    for k, a in enumerate(range(0, len(tokens), length)):
-                        part = tokens[a : a + length]
-                        take.append(i)
-                        seq.append(k)
-                        size.append(len(part))
-                        raw.append(part.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(take, pa.int64())), pa.array(seq, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["key", "seq", "n_tokens", "tokens"]
-                )
-
-    return ids.select("key", "ids").mapInArrow(cut, f"key {key_type}, seq long, n_tokens long, tokens binary")
+    """(key, seq, n_tokens, tokens): the ids of each text in pieces of ``length``, cut where they are encoded."""
+    plain = docs.select(F.struct(F.col(f"`{key}`").alias("key")).alias(ROW), whole(F.col(f"`{text}`")).alias("t"))
+
+    def cut(rows: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        take, seq, size, raw = [], [], [], []
+        for i, tokens in enumerate(ids):
+            if len(tokens) and int(tokens.max()) >= FILL:
+                raise ValueError(f"ids from {FILL} on do not fit a record")
+            data = tokens.astype("<u2").tobytes()
+            n = -(-len(tokens) // length)
+            take += [i] * n
+            seq += range(n)
+            size += [length] * (n - 1) + [len(tokens) - length * (n - 1)] if n else []
+            raw += [data[a : a + 2 * length] for a in range(0, len(data), 2 * length)]
+        keys = rows.field("key") if isinstance(rows, pa.StructArray) else rows.combine_chunks().field("key")
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), pa.array(seq, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["key", "seq", "n_tokens", "tokens"])
+
+    fields = [T.StructField("key", docs.schema[key].dataType), T.StructField("seq", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())]
+    return bpe.encoded(plain, rank_path, pattern, cut, T.StructType(fields), bpe.CHUNK, bpe.OVERLAP, bpe.STRETCH)
 
 
 def materialise(
@@ -105,7 +105,7 @@ def materialise(
         return pd.Series(slots(starts[np.searchsorted(names, r >> 33)] + (r & ((1 << 33) - 1)), total, seed))
 
     placed = staged.withColumn("slot", slot_of(RID)).withColumn("shard", F.call_function("div", F.col("slot"), F.lit(rows)))
-    shards = -(-total // rows)
+    shards, stride = -(-total // rows), 2 * length + 1
     record = F.rpad("tokens", 2 * length, F.lit(b"\xff")).cast("string")
     earlier = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # shuffle files of a wave go when it ends
@@ -113,11 +113,14 @@ def materialise(
         for w in range(min(waves, shards)):
             first, last = shards * w // waves if shards >= waves else w, shards * (w + 1) // waves if shards >= waves else w + 1
             part = placed.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", "slot", record.alias("value"))
-            part = part.repartition(max(1, last - first), "shard").sortWithinPartitions("shard", "slot")
+            # A range of whole shards for each task: enough tasks for all cores, at most TASK_BYTES each.
+            each = max(1, min((last - first) // (2 * spark.sparkContext.defaultParallelism), TASK_BYTES // (rows * stride)))
+            part = part.repartitionById(-(-(last - first) // each), F.call_function("div", F.col("shard") - first, F.lit(each)).cast("int"))
+            part = part.sortWithinPartitions("shard", "slot")
             part.select("shard", "value").write.mode("append").partitionBy("shard").option("lineSep", END).text(path)
     finally:
         spark.conf.unset(CLEANUP) if earlier is None else spark.conf.set(CLEANUP, earlier)
-    offset = F.col("slot") % rows * (2 * length + 1)
+    offset = F.col("slot") % rows * stride
     return placed.select(F.col("key").alias(key), "seq", "n_tokens", "slot", "shard", offset.alias("offset"))
 
 
@@ -141,3 +144,10 @@ def read(spark: SparkSession, path: str, length: int = LENGTH, rows: int = ROWS,
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.withColumn("shard", F.col("shard").cast("long")).where(F.col("shard") >= start // rows)
     return files.select("shard", "content").mapInArrow(cut, "slot long, tokens array<int>")
+
+
+def verified(placed: DataFrame, stored: DataFrame) -> DataFrame:
+    """``placed`` with the columns of ``stored`` (slot, tokens); a slot that only one side has is an error."""
+    both = placed.join(stored.withColumn("__stored", F.lit(True)), "slot", "full")
+    lost = F.col("__stored").isNull() | F.col("shard").isNull()
+    return both.withColumn("tokens", F.when(lost, F.raise_error(F.concat(F.lit("placed or stored only: slot "), "slot"))).otherwise(F.col("tokens"))).drop("__stored")
