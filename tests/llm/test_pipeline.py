@@ -34,17 +34,11 @@ def corpus():
 
 def brute(rows, items):
     verdicts = test_quality.brute([(r[1], r[3]) for r in rows], quality.MAX_DOCS)
-    lines_of = lambda t: [(x, "".join(c.lower() if "A" <= c <= "Z" else c for c in " ".join(test_quality.WORD.findall(x)))) for x in (t or "").split("\n")]
-    seen = {}
-    for t, host in ((r[1], r[3] or "") for r in rows):
-        norm = [(len(test_quality.WORD.findall(x)), n) for x, n in lines_of(t) if n]
-        for _, n in norm:
-            seen.setdefault((host, n), set()).add(max(norm))
+    many = test_quality.frequent([(r[1], r[3]) for r in rows], quality.MAX_DOCS)
     kept = []
     for row, v in zip(rows, verdicts):
         if v[-1]:
-            stay = [x for x, n in lines_of(row[1]) if len(seen.get((row[3] or "", n), ())) <= quality.MAX_DOCS]
-            kept.append((row[0], "\n".join(stay)))
+            kept.append((row[0], "\n".join(raw for raw, line, _ in test_quality.lines_of(row[1]) if (row[3] or "", line) not in many)))
     groups = test_simhash.groups([(k, test_simhash.slow_fingerprint(t)) for k, t in kept])
     first, left = set(), []
     for (k, t), g in sorted(zip(kept, groups), key=lambda x: x[0][0]):

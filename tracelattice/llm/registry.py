@@ -116,12 +116,12 @@ pos AS (SELECT rid, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
 tri AS (SELECT rid, i, x AS x1, lead(x, 1) OVER o AS x2, lead(x, 2) OVER o AS x3 FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)),
 rep AS (SELECT rid, i FROM tri WHERE x3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, x1, x2, x3) > 1),
 cov AS (SELECT rid, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
-ln AS (SELECT rid, host, translate(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l,
+ln AS (SELECT rid, host, lower(array_to_string(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS l,
        len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM (SELECT rid, host, unnest(ls) AS l FROM w)),
-ident AS (SELECT rid, max(struct_pack(n := n, l := l)) AS ident FROM ln GROUP BY 1),
-freq AS (SELECT host, l FROM (SELECT DISTINCT host, l, ident FROM ln JOIN ident USING (rid)) GROUP BY 1, 2 HAVING count(*) > 10),
+same AS (SELECT rid, min(rid) OVER (PARTITION BY t) AS document FROM d),
+freq AS (SELECT host, l FROM ln JOIN same USING (rid) GROUP BY 1, 2 HAVING count(DISTINCT document) > 10),
 gone AS (SELECT rid, sum(n) AS n FROM ln JOIN freq USING (host, l) GROUP BY 1),
-m AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+m AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines FROM w),
 b AS (SELECT m.*, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone_words FROM m LEFT JOIN cov USING (rid) LEFT JOIN gone USING (rid)),
