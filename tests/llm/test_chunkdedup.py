@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 
@@ -57,26 +58,27 @@ def test_hash_is_the_rolling_one():
 
 
 def brute(docs):
-    """Runs of chunks that other documents have too."""
-    have, parts = defaultdict(set), []
+    """Runs of chunks that other documents have too, cut where the first of their kind end."""
+    have, place, parts = defaultdict(set), {}, []
     for i, t in enumerate(docs):
         data = (t or "").encode()
         e = C.cuts(data)
         parts.append([(data[a:b], a, b) for a, b in zip([0, *e], e)])
-        for p, _, _ in parts[-1]:
+        for k, (p, _, _) in enumerate(parts[-1]):
             have[p].add(i)
+            place.setdefault(p, (i, k))
     out = []
     for i, chunks in enumerate(parts):
         data, run = (docs[i] or "").encode(), []
-        for c in [*chunks, None]:
+        words = lambda cs: sum(1 for _, a, b in cs for k in range(a, b) if not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace()))  # noqa: E731,B023
+        for k, c in enumerate([*chunks, None]):
             if c and len(have[c[0]]) > 1:
-                run.append(c)
+                run.append((place[c[0]] == (i, k), c))
                 continue
-            if run:
-                a, b = run[0][1], run[-1][2]
-                n = sum(1 for k in range(a, b) if not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace()))
-                if n >= C.MIN_WORDS:
-                    out.append((i, len(data[:a].decode()), len(data[:b].decode()), n, min(len(have[x[0]]) for x in run), all(min(have[x[0]]) == i for x in run)))
+            if words([c for _, c in run]) >= C.MIN_WORDS:
+                for first, group in groupby(run, lambda x: x[0]):
+                    cs = [c for _, c in group]
+                    out.append((i, len(data[: cs[0][1]].decode()), len(data[: cs[-1][2]].decode()), words(cs), min(len(have[x[0]]) for x in cs), first))
             run = []
     return sorted(out)
 
@@ -86,9 +88,33 @@ def test_repeats_match_brute_force(spark):
     df = spark.createDataFrame([(t, i, "x") for i, t in enumerate(docs)], "text string, doc_id long, start string").coalesce(1)
     got = sorted(tuple(r) for r in C.repeats(df).collect())
     assert got == brute(docs)
+    assert any(g[-1] for g in got) and not all(g[-1] for g in got)
     held = {i for i, t in enumerate(docs) if any(p in (t or "") for p in passages)} | {4, 5, len(docs) - 2, len(docs) - 1}
     assert {g[0] for g in got} == held
 
 
+def test_every_passage_keeps_one_first_copy(spark):
+    r = random.Random(3)
+    a, b = prose(r, 90), prose(r, 90)
+    docs = [a, a + " " + b, a + " " + b, b + "\n" + b, prose(r, 90), a]
+    got = [tuple(x) for x in C.repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(got) == brute(docs)
+    left = list(docs)
+    for i, start, end, _, _, first in sorted(got, reverse=True):
+        if not first:
+            left[i] = left[i][:start] + left[i][end:]
+    middle = lambda t: t[len(t) // 3 : 2 * len(t) // 3]
+    assert [sum(t.count(middle(x)) for t in left) for x in (a, b, docs[4])] == [1, 1, 1]
+
+
+def test_long_texts_null_keys_and_other_columns(spark):
+    r = random.Random(4)
+    long, passage = prose(r, 200_000), prose(r, 60)
+    docs = [(None, long, 1), (None, passage + " " + prose(r, 30), 2), (7, long[:500_000] + " " + passage, 3)]
+    got = C.repeats(spark.createDataFrame(docs, "doc_id long, text string, n_docs int").coalesce(1)).collect()
+    assert got[0].asDict().keys() == {"doc_id", "start", "end", "n_words", "n_docs", "is_first"} and {x.doc_id for x in got} == {None, 7}
+    assert max(x.end - x.start for x in got) > 499_000 and sum(x.is_first for x in got) == 2
+
+
 def test_empty_table(spark):
     assert C.repeats(spark.createDataFrame([], "text string, doc_id long")).count() == 0

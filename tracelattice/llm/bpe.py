@@ -160,19 +160,26 @@ def as_ids(rows: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def encoded(
-    plain: DataFrame, rank_path: str, pattern: str, finish: Finish, schema: T.StructType, size: int, overlap: int, chunks: int,
+    plain: DataFrame, rank_path: str, pattern: str, finish: Finish, schema: T.StructType,
+    size: int = CHUNK, overlap: int = OVERLAP, chunks: int = STRETCH, library: bool = False,
 ) -> DataFrame:
-    """``finish`` of the ids of ``plain`` (__row, t), in batches, in the tasks that have them."""
+    """``finish`` of the ids of ``plain`` (__row, t), in batches, in the tasks that have them.
+
+    ``library``: texts of one stretch are left to the library's own call, for callers that need the ids and
+    not the method; the ids are the same.
+    """
     with open(rank_path, "rb") as f:
         ranks = plain.sparkSession.sparkContext.broadcast(f.read())
     row_type = plain.schema[ROW].dataType
 
     def encode_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks.value, pattern)
+        one_call = lambda t: np.array(c.memory.encoding.encode_ordinary(t), np.int32)
+        ids_of = one_call if library else lambda t: c.ids(c.stitched(t, size, overlap)[0])
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, BATCH):
                 b = whole_batch.slice(at, BATCH)
-                yield finish(b.column(0), [c.ids(c.stitched(t, size, overlap)[0]) for t in b.column(1).to_pylist()])
+                yield finish(b.column(0), [ids_of(t) for t in b.column(1).to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -12,7 +12,9 @@ joined back, and a passage of a third of all rows is a skewed join that Spark sp
 document.
 
 Defined cases: null texts are empty and have no chunks; every row is a document, so repeated rows repeat
-each other; null keys are carried; an empty table gives no rows.
+each other, the row read first being the first; a very long text is one row of its task while it is cut, and
+its chunks are dealt from then on; null keys are carried; other columns are left out; an empty table gives no
+rows.  A passage that only one document has, however often, is not reported, nor are texts of fewer words.
 """
 
 from __future__ import annotations
@@ -69,20 +71,24 @@ def forced(inside: np.ndarray, last: int) -> int:
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """(__rid, key, digests, ends, words) of (__rid, key, text): one row per document; ``ends`` in
-    characters, ``words`` that begin in each chunk."""
+    """(__rid, key, digests, ends, words, again) of (__rid, key, text): one row per document; ``ends`` in
+    characters, ``words`` that begin in each chunk, ``again``: the document had the chunk before."""
     key_type = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 256):
                 batch = whole_batch.slice(at, 256)
-                digests, ends, words = [], [], []
+                digests, ends, words, again = [], [], [], []
                 for t in batch.column(2):
                     data = t.as_py().encode("utf-8", "surrogatepass")
                     e = cuts(data)
                     s = [0, *e[:-1]]
-                    digests.append([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(s, e)])
+                    named = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(s, e)]
+                    digests.append(named)
+                    seen = np.ones(len(named), bool)
+                    seen[list({d: k for k, d in zip(range(len(named) - 1, -1, -1), reversed(named))}.values())] = False
+                    again.append(seen)
                     b = np.frombuffer(data, np.uint8)
                     space = (b == 32) | ((b >= 9) & (b <= 13))
                     begins = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])) if len(b) else [])))
@@ -90,29 +96,35 @@ def chunked(rows: DataFrame) -> DataFrame:
                     ends.append(chars[e].astype(np.int32) if e else np.zeros(0, np.int32))
                     words.append((begins[e] - begins[s]).astype(np.int32) if e else np.zeros(0, np.int32))
                 signed = [np.array(d, np.uint64).view(np.int64) for d in digests]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], names=[RID, "key", "digests", "ends", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), pa.array(again, pa.list_(pa.bool_()))], names=[RID, "key", "digests", "ends", "words", "again"])
 
-    return rows.select(RID, "key", whole("text")).mapInArrow(run, f"{RID} long, key {key_type}, digests array<long>, ends array<int>, words array<int>")
+    return rows.select(RID, "key", whole("text")).mapInArrow(run, f"{RID} long, key {key_type}, digests array<long>, ends array<int>, words array<int>, again array<boolean>")
 
 
 def repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, start, end, n_words, n_docs, is_first): every passage that another document has too.
+    """(key, start, end, n_words, n_docs, is_first): passages that another document has too.
 
-    ``n_docs``: documents that share its rarest chunk; ``is_first``: no earlier row has any of its chunks.
+    A run of such chunks counts if it holds ``min_words``; it is cut where ``is_first`` changes: whether its
+    chunks are the first of their kind (in the earliest row, and there at the first place).  Without the
+    passages that are not first, so, each chunk stays at exactly one place.  ``n_docs``: documents that share
+    the passage's rarest chunk.
     """
     rows = docs.select(F.monotonically_increasing_id().alias(RID), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     named = scratch.materialise(chunked(rows), "chunks")
     each = named.select(RID, F.explode(F.array_distinct("digests")).alias("d"))
     shared = each.groupBy("d").agg(F.count("*").alias("n_docs"), F.min(RID).alias("owner")).where("n_docs > 1")
     shared = scratch.materialise(shared, "shared")
-    chunk = F.arrays_zip("digests", "ends", "words")
+    chunk = F.arrays_zip("digests", "ends", "words", "again")
     parts = named.select(RID, F.posexplode(chunk).alias("k", "c"), "ends").select(
-        RID, "k", F.col("c.digests").alias("d"), F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("w")
+        RID, "k", F.col("c.digests").alias("d"), F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0)).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("w"), F.col("c.again").alias("again")
     )
-    hits = parts.join(shared, "d")
-    run = F.col("k") - F.row_number().over(Window.partitionBy(RID).orderBy("k"))
-    runs = hits.withColumn("run", run).groupBy(RID, "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("n_words"), F.min("n_docs").alias("n_docs"), F.min(F.col("owner") == F.col(RID)).alias("is_first")
+    hits = parts.join(shared, "d").withColumn("is_first", (F.col("owner") == F.col(RID)) & ~F.col("again")).drop("d", "owner", "again")
+    number = lambda *by: F.row_number().over(Window.partitionBy(RID, *by).orderBy("k"))
+    hits = hits.withColumn("run", F.col("k") - number())
+    # Per run: its words, and its stretches of one kind (consecutive places less a count of the kind).
+    stretch = hits.withColumn("part", F.col("k") - number("is_first")).groupBy(RID, "run", "is_first", "part").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("w").alias("n_words"), F.min("n_docs").alias("n_docs")
     )
-    return runs.where(F.col("n_words") >= min_words).join(named.select(RID, "key"), RID).select(F.col("key").alias(key), "start", "end", "n_words", "n_docs", "is_first")
-
+    in_run = F.sum("n_words").over(Window.partitionBy(RID, "run"))
+    found = stretch.withColumn("in_run", in_run).where(F.col("in_run") >= min_words)
+    return found.join(named.select(RID, "key"), RID).select(F.col("key").alias(key), "start", "end", "n_words", "n_docs", "is_first")

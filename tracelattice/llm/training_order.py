@@ -84,7 +84,7 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, text: str, key: str
         return pa.RecordBatch.from_arrays([keys.take(pa.array(take, pa.int64())), pa.array(seq, pa.int64()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["key", "seq", "n_tokens", "tokens"])
 
     fields = [T.StructField("key", docs.schema[key].dataType), T.StructField("seq", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())]
-    return bpe.encoded(plain, rank_path, pattern, cut, T.StructType(fields), bpe.CHUNK, bpe.OVERLAP, bpe.STRETCH)
+    return bpe.encoded(plain, rank_path, pattern, cut, T.StructType(fields), library=True)
 
 
 def materialise(
