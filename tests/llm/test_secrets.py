@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tracelattice.llm import registry, secrets
 
 
@@ -53,6 +55,32 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch):
     assert secrets.update_ledger(df, ledger).count() == len(set(x or "" for x in TEXTS))
 
 
+def test_a_blob_of_two_runs_counts_once(spark, tmp_path, monkeypatch):
+    ledger, df = str(tmp_path / "ledger"), frame(spark)
+    secrets.update_ledger(df, ledger)
+    with monkeypatch.context() as m:  # a run that began before the other had ended
+        m.setattr(secrets, "ledger_rows", lambda spark, ledger: spark.createDataFrame([], f"blob binary, version string, findings {secrets.FINDING}"))
+        assert secrets.update_ledger(df, ledger).count() == len(set(x or "" for x in TEXTS))
+    assert sorted(r.doc_id for r in secrets.scan(df, ledger=ledger).collect()) == list(range(len(TEXTS)))
+
+
+def test_a_blob_that_the_ledger_lacks_is_an_error(spark, tmp_path):
+    ledger, df = str(tmp_path / "ledger"), frame(spark)
+    secrets.update_ledger(df.where("doc_id > 3"), ledger)
+    with pytest.raises(Exception, match="the ledger lacks blob"):
+        secrets.with_findings(df, ledger).collect()
+
+
+def test_changed_rules_are_another_version():
+    again = lambda rules: hashlib.sha256(repr([(k, h, p.pattern, p.flags, g, n) for k, h, p, g, n in rules]).encode()).hexdigest()[:16]
+    assert again(secrets.RULES) == secrets.RULE_VERSION != again((*secrets.RULES[:2], (*secrets.RULES[2][:4], 33), *secrets.RULES[3:]))
+
+
+def test_null_keys(spark):
+    df = spark.createDataFrame([(None, "secret=newsecret1"), (None, "secret=newsecret1"), (1, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), len(r.findings)) for r in secrets.scan(df).collect()) == [("1", 0), ("None", 1), ("None", 1)]
+
+
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(frame(spark)).collect()}
     assert out[0] is None and out[1] == "" and out[2] == "nothing here" and out[3] == "[SECRET]" and out[12] == "[SECRET]"

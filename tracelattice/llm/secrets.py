@@ -2,17 +2,22 @@
 
 Each distinct text is a blob, named by the SHA-256 of its bytes.  The ledger holds what each rule version
 found in each blob; only (blob, rule version) pairs that it lacks are scanned, and findings go back to all
-rows of a blob.  What is new is found by names alone, before texts are joined to it.  Equal texts collapse before the shuffle, so copies cost one row per task; the join back
-reads the written ledger, and a blob of a third of all rows is a skewed join that Spark splits.
+rows of a blob.  What is new is found by names alone, before texts are joined to it.  Equal texts collapse
+before the shuffle, so copies cost one row per task; the join back reads the written ledger, and a blob of a
+third of all rows is a skewed join that Spark splits.  If few blobs are new Spark broadcasts their names and
+only their texts move, else all distinct texts move once.
 
-Each run writes its own folder of the ledger, so a run that fails leaves nothing behind.
+Each run writes its own folder of the ledger, so a run that fails leaves nothing behind; two runs that scan
+the same blob at a time both write it, and readers take one.  The rule version is a digest of the rules.
 
-Defined cases: a null text is the empty blob; repeated rows each get the blob's findings; an empty table
-gives no rows; an input column named like an output gives way to it.
+Defined cases: a null text is the empty blob; a very long text is one row of its task; repeated rows each get
+the blob's findings; null keys are carried; an empty table gives no rows; an input column named like an output
+gives way to it.  A row whose blob the ledger lacks after the scan is an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -22,9 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelattice import scratch
-from tracelattice.llm.common import pack, unpack, whole
+from tracelattice.llm.common import dropping_shuffles, pack, unpack, whole
 
-RULE_VERSION = "1"
 # Kind, words of which one must be in the lower-cased text, pattern, group that holds the
 # secret, its least length.  Kinds that come first go first among spans of one start.
 RULES = (
@@ -34,6 +38,8 @@ RULES = (
     ("pem", ("private key",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 1),
     ("jwt", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), 0, 1),
 )
+#: Another version as soon as a rule changes.
+RULE_VERSION = hashlib.sha256(repr([(kind, hints, p.pattern, p.flags, group, least) for kind, hints, p, group, least in RULES]).encode()).hexdigest()[:16]
 BASE_KINDS = ("assign", "access", "hex")
 FINDING = "array<struct<start:long,rank:int,kind:string,stop:long>>"
 
@@ -75,11 +81,12 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame
     t = whole(F.col(f"`{text}`"))
     rows = docs.select(F.unhex(F.sha2(t, 256)).alias("blob"), t.alias("t"))
     seen = ledger_rows(spark, ledger).where(F.col("version") == RULE_VERSION).select("blob")
-    if not seen.isEmpty():  # names alone decide what is new; Spark can then filter texts before they move
-        new = scratch.materialise(rows.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
-        rows = rows.join(new, "blob", "left_semi")
     blobs = rows.groupBy("blob").agg(F.first("t").alias("t"))
-    return scratch.materialise(scan_blobs(blobs), "scan", at=f"{ledger}/run={uuid.uuid4().hex}")
+    with dropping_shuffles(spark):
+        if not seen.isEmpty():  # names alone decide what is new
+            new = scratch.materialise(rows.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+            blobs = blobs.join(new, "blob", "left_semi")
+        return scratch.materialise(scan_blobs(blobs), "scan", at=f"{ledger}/run={uuid.uuid4().hex}")
 
 
 def scan(docs: DataFrame, text: str = "text", ledger: str | None = None) -> DataFrame:
@@ -87,9 +94,16 @@ def scan(docs: DataFrame, text: str = "text", ledger: str | None = None) -> Data
     spark = docs.sparkSession
     ledger = ledger or scratch.new_path(spark, "ledger")
     update_ledger(docs, ledger, text)
-    known = ledger_rows(spark, ledger).where(F.col("version") == RULE_VERSION).select("blob", "findings")
+    return with_findings(docs, ledger, text)
+
+
+def with_findings(docs: DataFrame, ledger: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with what the ledger has; a blob that it lacks is an error."""
+    known = ledger_rows(docs.sparkSession, ledger).where(F.col("version") == RULE_VERSION).dropDuplicates(["blob", "version"]).select("blob", "findings")
     rows = docs.select(pack(docs), F.unhex(F.sha2(whole(F.col(f"`{text}`")), 256)).alias("blob"))
-    return unpack(rows.join(known, "blob"), docs.columns, {"blob": F.col("blob"), "findings": F.col("findings")})
+    lacking = F.raise_error(F.concat(F.lit("the ledger lacks blob "), F.lower(F.hex("blob"))))
+    findings = F.when(F.col("findings").isNull(), lacking).otherwise(F.col("findings"))
+    return unpack(rows.join(known, "blob", "left"), docs.columns, {"blob": F.col("blob"), "findings": findings})
 
 
 def span_text(findings: Column) -> Column:

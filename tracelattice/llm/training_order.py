@@ -32,13 +32,12 @@ from pyspark.sql import types as T
 
 from tracelattice import scratch
 from tracelattice.llm import bpe
-from tracelattice.llm.common import RID, ROW, whole
+from tracelattice.llm.common import RID, ROW, dropping_shuffles, whole
 
 LENGTH, ROWS, WAVES = 256, 16_384, 2
 TASK_BYTES = 128 << 20  # of records that a task sorts and writes, where shards are smaller
 FILL, END = 65535, "\n"
 ROUNDS = 6
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -107,9 +106,7 @@ def materialise(
     placed = staged.withColumn("slot", slot_of(RID)).withColumn("shard", F.call_function("div", F.col("slot"), F.lit(rows)))
     shards, stride = -(-total // rows), 2 * length + 1
     record = F.rpad("tokens", 2 * length, F.lit(b"\xff")).cast("string")
-    earlier = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # shuffle files of a wave go when it ends
-    try:
+    with dropping_shuffles(spark):  # a wave's shuffle files go when it ends
         for w in range(min(waves, shards)):
             first, last = shards * w // waves if shards >= waves else w, shards * (w + 1) // waves if shards >= waves else w + 1
             part = placed.where((F.col("shard") >= first) & (F.col("shard") < last)).select("shard", "slot", record.alias("value"))
@@ -118,8 +115,6 @@ def materialise(
             part = part.repartitionById(-(-(last - first) // each), F.call_function("div", F.col("shard") - first, F.lit(each)).cast("int"))
             part = part.sortWithinPartitions("shard", "slot")
             part.select("shard", "value").write.mode("append").partitionBy("shard").option("lineSep", END).text(path)
-    finally:
-        spark.conf.unset(CLEANUP) if earlier is None else spark.conf.set(CLEANUP, earlier)
     offset = F.col("slot") % rows * stride
     return placed.select(F.col("key").alias(key), "seq", "n_tokens", "slot", "shard", offset.alias("offset"))
 
