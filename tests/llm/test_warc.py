@@ -1,6 +1,10 @@
 import base64
 import gzip
 import hashlib
+import io
+import json
+import random
+import zlib
 
 import pytest
 
@@ -32,7 +36,10 @@ def test_round_trip(spark, tmp_path, least):
     df = spark.createDataFrame([(*r, "clash") for r in rows()], "page_id long, url string, html string, digest string").repartition(3)
     warc.write(df, str(tmp_path / "w"), least)
     got = warc.captures(spark, str(tmp_path / "w")).collect()
-    assert sorted((tuple(r) for r in got), key=str) == expected(rows(), least)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == expected(rows(), least)
+    one = json.loads(next(r.capture for r in got if r.page_id == 1))
+    assert one["request"] == {"start_line": "GET /x?q=1 HTTP/1.1", "host": "a.example"} and one["metadata"] == {"page_id": "1"}
+    assert one["response"] == {"type": "response" if least > 4 else "revisit", "target_uri": "http://a.example/x?q=1", "media_type": "text/html; charset=utf-8", "payload_length": 4}
 
 
 def test_assembled_rows_are_nested(spark, tmp_path):
@@ -52,7 +59,32 @@ def test_reads_other_archives(spark, tmp_path):
     (tmp_path / "part-b.warc.gz").write_bytes(gzip.compress(r) + gzip.compress(r))
     assert [bytes(x.payload) for x in warc.read(spark, str(tmp_path)).collect()] == [b"a\r\nb"] * 5
     with pytest.raises(ValueError):
-        list(warc.records(r[:-8]))
+        list(warc.records(io.BytesIO(r[:-8])))
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    data = [(i, "http://h/", random.Random(i).randbytes(1500).hex()) for i in range(60)] + [(60, "http://h/", random.Random(60).randbytes(40_000).hex())]
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), value_bytes=2_000, file_bytes=10_000)
+    files = [f for f in (tmp_path / "w").rglob("part-*")]
+    sizes = sorted(f.stat().st_size for f in files)
+    assert len(files) > 8 and sizes[-1] < 10_000 + 60_000 and sizes[-2] < 10_000 + 2 * 3_000
+    for f in files:  # every record begins a member
+        raw, starts = f.read_bytes(), 0
+        while raw:
+            z = zlib.decompressobj(31)
+            text = z.decompress(raw)
+            starts += text.startswith(b"WARC/1.1\r\n") and text.count(b"WARC/1.1\r\n") == 1
+            assert not text or text.startswith(b"WARC/1.1\r\n")
+            raw = z.unused_data
+        assert starts % 3 == 0
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.captures(spark, str(tmp_path / "w")).collect()) == [(i, len(h)) for i, _, h in data]
+
+
+def test_a_very_long_page(spark, tmp_path):
+    data = [(1, "u", "é" + "<p>long page</p>" * 3_500_000), (2, "u", "x"), (3, "u", None)]
+    warc.write(spark.createDataFrame(data, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.captures(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()) for i, _, h in data}
 
 
 def test_empty_table(spark, tmp_path):

@@ -101,13 +101,18 @@ def queries() -> dict[str, Query]:
     return {f.__name__: shipped(f) for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_lines, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
 
 
-OP1_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, regexp_replace(coalesce(url, ''), '[\x00-\x20]+', '%20', 'g') AS u FROM pages),
 d AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS best FROM p),
-bits AS (SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 1) AS INTEGER)), 4, '0')), 'string_agg', '') AS b FROM d)
+bits AS (SELECT *, list_aggregate(list_transform(range(0, 40), lambda i: lpad(bin(CAST('0x' || substr(x, CAST(i AS INTEGER) + 1, 1) AS INTEGER)), 4, '0')), 'string_agg', '') AS b,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type FROM d)
 SELECT page_id, strlen(h) AS payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_aggregate(list_transform(range(0, 5), lambda j: CAST(substr(b, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER)), 'sum') + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
-  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+  record_type, CASE WHEN page_id <> best THEN best END AS refers_to,
+  CAST(to_json(struct_pack(
+    request := struct_pack(start_line := 'GET /' || regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/?([^#]*)', 1) || ' HTTP/1.1', host := regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)),
+    response := struct_pack("type" := record_type, target_uri := u, media_type := 'text/html; charset=utf-8', payload_length := strlen(h)),
+    metadata := struct_pack(page_id := CAST(page_id AS VARCHAR)))) AS VARCHAR) AS capture
 FROM bits
 """
 

@@ -5,43 +5,50 @@ Each capture is a request, a response (or a revisit of an equal payload) and a m
 and metadata name the response in WARC-Concurrent-To.  A revisit keeps the HTTP headers, whose
 Content-Length is the payload's, and names the response in WARC-Refers-To.
 
-Records end with two line ends, which is the sink's line separator, so files go to any store that Spark
-writes; a file is one gzip stream.  The reader takes any WARC file, plain or gzip with one or more members,
-one file at a time in a task; the writer's files are bounded by ``ROWS_PER_FILE``.
-
-Defined cases: null payload and url are empty; a null page_id is smaller than any other; among repeated
-rows of the largest page_id one is the response; an empty table makes an empty archive.
+A record is a gzip member of its own, so a reader can begin at any record.  Members are put together to
+values of about ``VALUE_BYTES``, which Spark's text sink writes as they are, so files go to any store that
+Spark writes; the sink's line separator is an empty gzip member.  A file is closed at ``FILE_BYTES``, so it
+holds that much and one record at most.  The reader takes any WARC file, plain or gzip with one or more
+members, and reads it as a stream of records, one file at a time in a task.
+
+Defined cases: null payload and url are empty; a very long payload is one record, which is held once as text
+and once compressed; a null page_id is smaller than any other; among repeated rows of the largest page_id one
+is the response; other columns are left out; an empty table makes an empty archive.
 """
 
 from __future__ import annotations
 
-import base64
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelattice import scratch
-from tracelattice.llm.common import RID
+from tracelattice.llm.common import RID, dropping_shuffles
 
 CRLF, END = "\r\n", "\r\n\r\n"  # fixed values of the format
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
-ROWS_PER_FILE = 20_000
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # fixed value: the alphabet of base32
+VALUE_BYTES, FILE_BYTES = 4 << 20, 32 << 20  # compressed
 LEAST_BYTES = 0  # payloads of fewer bytes are always responses
-FIELDS = ("type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_length", "payload", "fields")
-SCHEMA = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_length long, payload binary, fields map<string,string>"
+FIELDS = ("type", "record_id", "concurrent_to", "refers_to", "target_uri", "payload_digest", "payload_length", "payload", "start_line", "fields")
+SCHEMA = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_length long, payload binary, start_line string, fields map<string,string>"
 
 
-@F.pandas_udf(T.StringType())
-def base32(digits: pd.Series) -> pd.Series:
-    """Hex digits as base32; null stays null."""
-    return digits.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode(), na_action="ignore")
+def base32(digits: Column) -> Column:
+    """40 hex digits as base32: 5 of them are 4 letters.  Null stays null."""
+    out = []
+    for k in range(1, 41, 5):
+        v = F.conv(F.substring(digits, k, 5), 16, 10).cast("int")
+        out += [F.substr(F.lit(LETTERS), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+    return F.concat(*out)
 
 
 def urn(kind: str, row: Column) -> Column:
@@ -57,11 +64,12 @@ def record(headers: dict[str, str | Column], block: Column) -> Column:
     return F.concat(F.lit(VERSION), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(END), block)
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, key: str = "page_id", url: str = "url", html: str = "html", value_bytes: int = VALUE_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Three records per row.  Of rows with equal payloads the one of the largest key is the response."""
     one_line = F.regexp_replace(F.coalesce(F.col(f"`{url}`"), F.lit("")), "[\\x00-\\x20]+", "%20")
     rows = pages.select(F.monotonically_increasing_id().alias(RID), F.col(f"`{key}`").alias("key"), one_line.alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    rows = scratch.materialise(rows.withColumn("digest", base32(F.sha1(F.encode("html", "UTF-8")))), "pages")
+    staged = scratch.new_path(pages.sparkSession, "pages")
+    rows = scratch.materialise(rows.withColumn("digest", base32(F.sha1(F.encode("html", "UTF-8")))), "pages", at=staged)
     best = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max(F.struct(F.col("key").isNotNull().alias("some"), "key", RID)).alias("best"))
     best = scratch.materialise(best.select("digest", F.col(f"best.{RID}").alias("first")), "payloads")
     rows = rows.join(best, "digest", "left")
@@ -86,7 +94,34 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, key: str
         {"WARC-Type": "metadata", "WARC-Record-ID": meta, "WARC-Concurrent-To": rid, "WARC-Target-URI": F.col("url"), "Content-Type": "application/warc-fields"},
         F.coalesce(F.concat(F.lit("page-id: "), F.col("key").cast("string"), F.lit(CRLF)), F.lit("")),
     )
-    rows.select(F.explode(F.array(asked, answer, about)).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+    members = rows.select(asked.alias("a"), answer.alias("b"), about.alias("c")).mapInArrow(lambda batches: compress(batches, value_bytes, file_bytes), "file long, value binary").select("file", F.col("value").cast("string").alias("value"))
+    with dropping_shuffles(rows.sparkSession):
+        members.write.partitionBy("file").option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    scratch.delete(rows.sparkSession, staged)
+
+
+def member(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def compress(batches: Iterator[pa.RecordBatch], value_bytes: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(file, value): members of the records, put together; a file's number depends on the task and its place there."""
+    file, size, held, held_size = TaskContext.get().partitionId() << 32, 0, [], 0
+    emit = lambda: pa.RecordBatch.from_arrays([pa.array([file]), pa.array([b"".join(held)], pa.binary())], names=["file", "value"])
+    for batch in batches:
+        for row in zip(*batch.columns):
+            for record in row:
+                held.append(member(record.as_py().encode() + END.encode()))
+                held_size += len(held[-1])
+            if held_size >= value_bytes:
+                yield emit()
+                size += held_size
+                held, held_size = [], 0
+                if size >= file_bytes:
+                    file, size = file + 1, 0
+    if held:
+        yield emit()
 
 
 def named(block: bytes) -> dict[str, str]:
@@ -95,10 +130,11 @@ def named(block: bytes) -> dict[str, str]:
     return {a.strip().decode("utf-8", "replace").lower(): b.strip().decode("utf-8", "replace") for a, c, b in pairs if c}
 
 
-def records(content: bytes) -> Iterator[tuple]:
+def records(file: BinaryIO) -> Iterator[tuple]:
     """The records of one file, by their Content-Length; a file that ends within a record is an error."""
-    raw = io.BytesIO(content)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+    packed = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=file)) if packed else file
     while line := stream.readline():
         if not line.strip():
             continue
@@ -112,10 +148,11 @@ def records(content: bytes) -> Iterator[tuple]:
         block = stream.read(size)
         if len(block) < size:
             raise ValueError("the file ends within a record")
-        kind, payload, length, fields = h.get("warc-type"), None, None, None
+        kind, payload, length, start, fields = h.get("warc-type"), None, None, None, None
         if h.get("content-type", "").startswith("application/http"):
             top, _, payload = block.partition(b"\r\n\r\n")
-            fields = named(top.partition(b"\r\n")[2])
+            start, _, rest = top.partition(b"\r\n")
+            start, fields = start.decode("utf-8", "replace"), named(rest)
             length = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
             payload = None if kind == "revisit" else payload
         elif h.get("content-type", "").startswith("application/warc-fields"):
@@ -123,12 +160,12 @@ def records(content: bytes) -> Iterator[tuple]:
         else:
             payload = block
         digest = h.get("warc-payload-digest", "").partition(":")[2] or None
-        yield kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, length, payload, list((fields or {}).items())
+        yield kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, length, payload, start, list((fields or {}).items())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records below ``path``; ``payload_length`` is the HTTP Content-Length."""
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary(), pa.string(), pa.map_(pa.string(), pa.string())]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(FIELDS))
@@ -137,7 +174,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column(0):
                 held, size = [], 0
-                for r in records(content.as_py()):
+                for r in records(io.BytesIO(content.as_buffer())):
                     held.append(r)
                     size += len(r[7] or b"")
                     if size > 4 << 20 or len(held) >= 5000:
@@ -157,28 +194,34 @@ def assemble(recs: DataFrame) -> DataFrame:
     """
     recs = recs.withColumn("sha", F.sha1("payload"))
     answers = recs.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", "refers_to", F.struct("type", "target_uri", "payload_digest", "payload_length", "payload", "fields").alias("response"),
+        "record_id", "refers_to", F.struct("type", "target_uri", "payload_digest", "payload_length", "payload", "start_line", "fields").alias("response"),
         F.when(F.col("type") == "response", F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(F.col("type") == "revisit", F.col("payload_digest")).otherwise(base32("sha")).alias("digest"),
     )
 
     def side(kind: str) -> DataFrame:
-        one = F.min_by(F.struct("record_id", "target_uri", "fields"), "record_id").alias(kind)
+        one = F.min_by(F.struct("record_id", "target_uri", "start_line", "fields"), "record_id").alias(kind)
         return recs.where(F.col("type") == kind).where(F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id")).agg(one)
 
     return answers.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive; ``refers_to`` is
-    the page_id of the response that a revisit names."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, capture) of an archive; ``refers_to``
+    is the page_id of the response that a revisit names, ``capture`` the nested row as JSON, without payload
+    and ids."""
+    capture = F.struct(
+        F.struct("request.start_line", F.col("request.fields")["host"].alias("host")).alias("request"),
+        F.struct("response.type", "response.target_uri", F.col("response.fields")["content-type"].alias("media_type"), "response.payload_length").alias("response"),
+        F.struct(F.col("metadata.fields")["page-id"].alias("page_id")).alias("metadata"),
+    )
     rows = assemble(read(spark, path)).select(
         "record_id", F.col("refers_to").alias("target"), F.col("response.type").alias("record_type"), F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"),
-        "payload_bytes", F.col("digest").alias("payload_digest"),
+        "payload_bytes", F.col("digest").alias("payload_digest"), F.to_json(capture, {"ignoreNullFields": "false"}).alias("capture"),
     )
     rows = scratch.materialise(rows, "captures")
     found = rows.where("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture"]
     # Only records that name another are joined: a null key of all the rest would be one partition.
     alone = rows.where("target is null").withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns)
     return rows.where("target is not null").join(found, "target", "left").select(*columns).unionByName(alone)
