@@ -27,8 +27,8 @@ def op2_chunk_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkdedup.repeats(table(spark, sf_dir, "documents"))
 
 
-def op5_licence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "line", "family")
+def op5_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "paragraph", "family", "word")
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: shipped(f) for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_lines, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
+    return {f.__name__: shipped(f) for f in (op1_warc_transactions, op2_chunk_repeats, op3_training_order, op4_hypergeometric_sharding, op5_licence_paragraphs, op6_benchmark_alignment, op7_secret_ledger, op8_simhash_anchor_covering, op9_quality_line_frequency, op10_bpe_round_trip, pipeline)}
 
 
 OP1_SQL = r"""
