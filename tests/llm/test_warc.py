@@ -45,7 +45,7 @@ def test_round_trip(spark, tmp_path, least):
 def test_assembled_rows_are_nested(spark, tmp_path):
     df = spark.createDataFrame(rows(), "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "w"))
-    out = warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect()
+    out = warc.assemble(warc.measured(warc.read(spark, str(tmp_path / "w")))).collect()
     assert len(out) == len(rows()) and all(r.request and r.metadata and r.response for r in out)
     one = next(r for r in out if r.response.target_uri == "http://a.example/x?q=1")
     assert one.request.fields["host"] == "a.example"

@@ -43,12 +43,9 @@ SCHEMA = "type string, record_id string, concurrent_to string, refers_to string,
 
 
 def base32(digits: Column) -> Column:
-    """40 hex digits as base32: 5 of them are 4 letters.  Null stays null."""
-    out = []
-    for k in range(1, 41, 5):
-        v = F.conv(F.substring(digits, k, 5), 16, 10).cast("int")
-        out += [F.substr(F.lit(LETTERS), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
-    return F.concat(*out)
+    """40 hex digits as base32, by way of numbers of base 32 (digits 0-9, A-V).  Null stays null."""
+    part = lambda at, n: F.lpad(F.conv(F.substring(digits, at, n), 16, 32), n * 4 // 5, "0")
+    return F.translate(F.concat(part(1, 15), part(16, 15), part(31, 10)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", LETTERS)
 
 
 def urn(kind: str, row: Column) -> Column:
@@ -94,14 +91,15 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, key: str
         {"WARC-Type": "metadata", "WARC-Record-ID": meta, "WARC-Concurrent-To": rid, "WARC-Target-URI": F.col("url"), "Content-Type": "application/warc-fields"},
         F.coalesce(F.concat(F.lit("page-id: "), F.col("key").cast("string"), F.lit(CRLF)), F.lit("")),
     )
-    members = rows.select(asked.alias("a"), answer.alias("b"), about.alias("c")).mapInArrow(lambda batches: compress(batches, value_bytes, file_bytes), "file long, value binary").select("file", F.col("value").cast("string").alias("value"))
+    members = rows.select(*[r.cast("binary").alias(n) for r, n in ((asked, "a"), (answer, "b"), (about, "c"))]).mapInArrow(lambda batches: compress(batches, value_bytes, file_bytes), "file long, value binary").select("file", F.col("value").cast("string").alias("value"))
     with dropping_shuffles(rows.sparkSession):
         members.write.partitionBy("file").option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     scratch.delete(rows.sparkSession, staged)
 
 
 def member(data: bytes) -> bytes:
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    bits = max(9, min(15, len(data).bit_length()))  # a small record needs no large window
+    z = zlib.compressobj(6, zlib.DEFLATED, 16 + bits, 8 if bits > 12 else 5)
     return z.compress(data) + z.flush()
 
 
@@ -112,7 +110,7 @@ def compress(batches: Iterator[pa.RecordBatch], value_bytes: int, file_bytes: in
     for batch in batches:
         for row in zip(*batch.columns):
             for record in row:
-                held.append(member(record.as_py().encode() + END.encode()))
+                held.append(member(record.as_py() + END.encode()))
                 held_size += len(held[-1])
             if held_size >= value_bytes:
                 yield emit()
@@ -187,23 +185,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(parse, SCHEMA)
 
 
+def measured(recs: DataFrame) -> DataFrame:
+    """Adds ``payload_bytes`` and ``digest`` of the full payload: its own, or what a revisit says of it."""
+    return recs.withColumns({
+        "payload_bytes": F.when(F.col("type") == "revisit", F.col("payload_length")).otherwise(F.octet_length("payload").cast("bigint")),
+        "digest": F.when(F.col("type") == "revisit", F.col("payload_digest")).when(F.col("type") == "response", base32(F.sha1("payload"))),
+    })
+
+
 def assemble(recs: DataFrame) -> DataFrame:
-    """One row per response or revisit: record_id, request, response, metadata (structs; null if missing).
+    """One row per response or revisit of ``measured`` records: record_id, refers_to, payload_bytes, digest,
+    request, response, metadata (structs; null if missing).  ``response`` has the payload if the records have it.
 
     Of several requests or metadata records of one capture, the one with the smallest record id counts.
     """
-    recs = recs.withColumn("sha", F.sha1("payload"))
-    answers = recs.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", "refers_to", F.struct("type", "target_uri", "payload_digest", "payload_length", "payload", "start_line", "fields").alias("response"),
-        F.when(F.col("type") == "response", F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", F.col("payload_digest")).otherwise(base32("sha")).alias("digest"),
-    )
-
-    def side(kind: str) -> DataFrame:
-        one = F.min_by(F.struct("record_id", "target_uri", "start_line", "fields"), "record_id").alias(kind)
-        return recs.where(F.col("type") == kind).where(F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id")).agg(one)
-
-    return answers.join(side("request"), "record_id", "left").join(side("metadata"), "record_id", "left")
+    names = [c for c in ("type", "target_uri", "payload_digest", "payload_length", "payload", "start_line", "fields") if c in recs.columns]
+    answers = recs.where(F.col("type").isin("response", "revisit")).select("record_id", "refers_to", F.struct(*names).alias("response"), "payload_bytes", "digest")
+    one = lambda kind: F.min_by(F.when(F.col("type") == kind, F.struct("record_id", "target_uri", "start_line", "fields")), F.when(F.col("type") == kind, F.col("record_id"))).alias(kind)
+    sides = recs.where(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id")).agg(one("request"), one("metadata"))
+    return answers.join(sides, "record_id", "left")
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +215,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
         F.struct("response.type", "response.target_uri", F.col("response.fields")["content-type"].alias("media_type"), "response.payload_length").alias("response"),
         F.struct(F.col("metadata.fields")["page-id"].alias("page_id")).alias("metadata"),
     )
-    rows = assemble(read(spark, path)).select(
+    recs = scratch.materialise(measured(read(spark, path)).drop("payload"), "records")  # files are parsed once
+    rows = assemble(recs).select(
         "record_id", F.col("refers_to").alias("target"), F.col("response.type").alias("record_type"), F.col("metadata.fields")["page-id"].cast("bigint").alias("page_id"),
         "payload_bytes", F.col("digest").alias("payload_digest"), F.to_json(capture, {"ignoreNullFields": "false"}).alias("capture"),
     )
