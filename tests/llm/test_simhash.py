@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from tracelattice.llm import simhash
+from tracelattice.llm import registry, simhash
 from tracelattice.llm.components import components
 
 
@@ -61,7 +61,7 @@ def test_components_match_brute_force(spark):
     assert len({g[2] for g in got}) < len(got)
 
 
-def test_links_connect_all_within_distance(spark, monkeypatch):
+def test_links_connect_all_within_distance(spark):
     r = random.Random(5)
     centre = [r.getrandbits(64) for _ in range(20)]
     fps = {c for c in centre}
@@ -75,14 +75,35 @@ def test_links_connect_all_within_distance(spark, monkeypatch):
     signed = [(int(np.uint64(x).astype(np.int64)),) for x in fps]
     df = spark.createDataFrame(signed, "fp long")
     want = [g for g in groups([(f, f) for f in fps])]
-    for block in (simhash.BLOCK, 50):  # 50: anchors are split into blocks
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in components(simhash.near_links(df)).collect()}
+    for block in (simhash.BLOCK, 50, 7):  # anchors are split into blocks
+        found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in components(simhash.near_links(df, block)).collect()}
         for a in range(0, len(fps), 7):
             for b in range(len(fps)):
                 assert (found.get(fps[a], fps[a]) == found.get(fps[b], fps[b])) == (want[a] == want[b])
 
 
+def test_cells_of_split_anchors_are_bounded_and_lose_no_pair():
+    r = np.random.default_rng(2)
+    centre = r.integers(0, 2**64, dtype=np.uint64)
+    fp = np.unique([centre ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, 3, dtype=np.uint64)) for _ in range(600)])
+    batch = lambda: iter([pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], names=["fp"])])
+    members = lambda splits: [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in simhash.to_cells(batch(), splits)]) for k in range(3)]
+    cell, _, home = members(simhash.Splits([], 40))
+    counted = [(int(c) >> 20, int(home[cell == c].sum()), int((cell == c).sum())) for c in np.unique(cell) if (cell == c).sum() > 40]
+    met = lambda cell, value, home: {(a, b) for c in np.unique(cell) for a in value[(cell == c) & home] for b in value[cell == c] if a != b}
+    split = members(simhash.Splits(counted, 40))
+    assert len(counted) > 3 and met(*split) == met(*members(simhash.Splits([], 40)))
+    assert max(np.unique(split[0], return_counts=True)[1]) < 4 * 40
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    data = [(i if i != 9 else None, t, "x") for i, t in enumerate(texts())]
+    spark.createDataFrame(data, "doc_id long, text string, fingerprint string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    fps = [(k, slow_fingerprint(t)) for k, t, _ in data]
+    want = sorted(((k, f"{f:016x}", c) for (k, f), c in zip(fps, groups(fps))), key=str)
+    assert sorted((tuple(r) for r in registry.op8_simhash_anchor_covering(spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_every_pair_within_a_band_bit_meets():
     r = np.random.default_rng(1)
     fp = r.integers(0, 2**64, 200, dtype=np.uint64)

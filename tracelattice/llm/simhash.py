@@ -12,8 +12,9 @@ all 64 bits.
 
 Equal fingerprints are collapsed first, so copies cost one row.  Each task passes on only a spanning
 forest of the links that it finds, never all pairs of a group.  Anchors with many rows (a large group of
-near copies) are split: copies are dealt to blocks, and homes go to all blocks of their anchor.  The table
-of such anchors has at most as many rows as there are anchors, which the code fixes (2^19).
+near copies) are split: both homes and copies are dealt to blocks of at most ``BLOCK``, and a cell is a block of
+the one by a block of the other.  The table of such anchors has at most as many rows as there are anchors, which
+the code fixes (2^19).
 """
 
 from __future__ import annotations
@@ -102,28 +103,51 @@ def anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
             yield rows, name(home[code], free ^ (1 << j)), np.zeros(len(fp), bool)
 
 
-def to_cells(batches: Iterator[pa.RecordBatch], blocks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """(cell, fp, home) for every anchor; ``blocks``: into how many blocks an anchor is split."""
-    heavy = np.array(sorted(blocks), np.int64)
+class Splits:
+    """Into how many blocks the homes and the copies of heavy anchors are split."""
+
+    def __init__(self, counted: list[tuple[int, int, int]], block: int) -> None:
+        """``counted``: (anchor, homes, rows); the rows of an anchor count as copies, its homes among them."""
+        counted = sorted(counted)
+        self.anchor = np.array([a for a, _, _ in counted], np.int64)
+        self.homes, self.copies = (np.array([max(1, -(-x[k] // block)) for x in counted], np.int64) for k in (1, 2))
+
+    def find(self, anchor: np.ndarray) -> np.ndarray:
+        """Index of each anchor here, -1 if it is not split."""
+        if not len(self.anchor):
+            return np.full(len(anchor), -1)
+        at = np.minimum(np.searchsorted(self.anchor, anchor), len(self.anchor) - 1)
+        return np.where(self.anchor[at] == anchor, at, -1)
+
+
+def dealt(rows: np.ndarray, own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row with its own block and every block of the other side."""
+    end = np.cumsum(others)
+    return np.repeat(rows, others), np.repeat(own, others), np.arange(end[-1] if len(end) else 0) - np.repeat(end - others, others)
+
+
+def to_cells(batches: Iterator[pa.RecordBatch], splits: Splits) -> Iterator[pa.RecordBatch]:
+    """(cell, fp, home) for every anchor.  In a split anchor a cell is a block of homes by a block of copies;
+    homes are copies too, so that each pair of which one is a home meets in a cell."""
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        salt = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)  # fixed value: an odd multiplier near 2^64 / golden ratio
+        salt = ((fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)  # fixed value: an odd multiplier near 2^64 / golden ratio
         for rows, anchor, home in anchors(fp):
-            cell, values, flag = anchor << 20, fp[rows], home
-            if len(heavy) and (split := np.isin(anchor, heavy)).any():
-                n = np.array([blocks[a] for a in anchor[split].tolist()], np.int64)
-                block = (salt[rows][split].astype(np.int64)) % n
-                cell[split] |= block
-                if home.all():  # homes go to every block, as members of their own only
-                    at = np.flatnonzero(split)
-                    more = np.repeat(at, n - 1)
-                    turn = np.concatenate([np.arange(1, k) for k in n.tolist()]) if len(at) else np.zeros(0, np.int64)
-                    other = (np.repeat(block, n - 1) + turn) % np.repeat(n, n - 1)
-                    cell = np.concatenate((cell, (anchor[more] << 20) | other))
-                    values, flag = np.concatenate((values, values[more])), np.concatenate((flag, np.ones(len(more), bool)))
-            for at in range(0, len(cell), 65536):
-                part = slice(at, at + 65536)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(values[part].view(np.int64)), pa.array(flag[part])], names=["cell", "fp", "home"])
+            at = splits.find(anchor)
+            whole = at < 0
+            parts = [(anchor[whole] << 20, rows[whole], home[whole])]
+            if not whole.all():
+                r, k, n = rows[~whole], at[~whole], anchor[~whole] << 20
+                place = np.arange(len(r))
+                i, copy, by_home = dealt(place, salt[r] % splits.copies[k], splits.homes[k])
+                parts.append((n[i] | copy * splits.homes[k][i] + by_home, r[i], np.zeros(len(i), bool)))
+                if home.all():
+                    i, own, by_copy = dealt(place, salt[r] // 64 % splits.homes[k], splits.copies[k])
+                    parts.append((n[i] | by_copy * splits.homes[k][i] + own, r[i], np.ones(len(i), bool)))
+            cell, row, flag = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            for x in range(0, len(cell), 65536):
+                part = slice(x, x + 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(fp[row[part]].view(np.int64)), pa.array(flag[part])], names=["cell", "fp", "home"])
 
 
 class Forest:
@@ -205,12 +229,14 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(links_of(*held, forest))
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column ``fp``) within the distance."""
-    count = lambda batches: (pa.RecordBatch.from_arrays([x.column(0)], names=["cell"]) for x in to_cells(batches, {}))
-    many = fps.mapInArrow(count, "cell long").groupBy("cell").count().where(F.col("count") > BLOCK).collect()  # at most 2^19 anchors
-    blocks = {r["cell"] >> 20: -(-r["count"] // BLOCK) for r in many}
-    cells = fps.mapInArrow(lambda batches: to_cells(batches, blocks), "cell long, fp long, home boolean")
+    none = Splits([], block)
+    count = lambda batches: (pa.RecordBatch.from_arrays([x.column(0), x.column(2)], names=["cell", "home"]) for x in to_cells(batches, none))
+    sizes = fps.mapInArrow(count, "cell long, home boolean").groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
+    many = sizes.where(F.col("rows") > block).select(F.shiftright("cell", 20), "homes", "rows").collect()  # at most 2^19 anchors
+    splits = fps.sparkSession.sparkContext.broadcast(Splits([tuple(r) for r in many], block))
+    cells = fps.mapInArrow(lambda batches: to_cells(batches, splits.value), "cell long, fp long, home boolean")
     return cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(links, "a long, b long")
 
 
