@@ -44,3 +44,10 @@ def test_any_trace(spark):
     assert [r["span_id"] for r in any_trace(edges, ["t1", "t2", "t9"]).collect()] == ["s3", "s3"]
     assert any_trace(edges, ["t9"]).count() == 0
     assert any_trace(edges.limit(0), ["t1"]).count() == 0
+
+
+def test_names_and_progress(spark):
+    got = spark.range(1).select(S.replace_all(F.lit("aXbX"), "X", "XX"), S.replace_all(F.lit("a"), "", "b"), S.index_folder(F.lit("http.status.code")), *[S.is_spans_folder(F.lit(x)) for x in ("frontend", "index-k", "dyntraces-1", "tracehashes", "my-index-k")]).first()
+    assert tuple(got) == ("aXXbXX", "a", "index-http-status-code", True, False, False, False, True)
+    assert S.progress_text(0.5, "done", 10) == " [=====>    ] 50% done" and S.progress_text(1.0, "x", 4) == " [====] 100% x"
+    assert [S.literal_text(x) for x in (True, 0.5, 7, b"\x0a", "t")] == ["true", "0.500000", "7", "0a", "t"]

@@ -60,9 +60,7 @@ def test_random_forests_agree_with_permutations(spark, k):
     assert got == want
     assert sorted(map(tuple, matching_traces(df, p).collect())) == sorted({w[:2] for w in want})
     hashes = structure.structure_hashes(df, 7)
-    if p.is_connected():
-        whole = df.where(F.coalesce(F.col("parent_span_id"), F.lit("")) != "gone")
-        assert sorted(map(tuple, structure.traces_by_class(whole, structure.structure_hashes(whole, 7), p).collect())) == sorted({w[:2] for w in brute([x for x in rows if x[3] != "gone"], p)})
+    assert sorted(map(tuple, structure.traces_by_class(df, hashes, p).collect())) == sorted({w[:2] for w in want})
     assert hashes.count() == 12
 
 
@@ -108,10 +106,58 @@ def test_windows_include_their_bounds(spark):
 
 def test_counts(spark):
     df = frame(spark, [span("t", "1", None, "X"), span("t", "2", "1", "X"), span("u", "1", None, "X")])
-    assert tuple(counts.traces_and_spans(df).first()) == (2, 3)
+    assert tuple(counts.traces_and_spans(df).first()) == (2, 2)  # distinct ids: both traces have a span "1"
     assert tuple(counts.traces_and_spans(df.limit(0)).first()) == (0, 0)
 
 
+def test_object_sizes_by_bucket(spark, tmp_path):
+    for name, data in (("a/x", b"12"), ("a/deep/y", b"345"), ("b/z", b"7"), ("b/empty", b""), ("top", b"6")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.bucket: (r.n_objects, r.n_bytes) for r in counts.object_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a": (2, 5), "b": (1, 1), "": (1, 1), None: (4, 7)}
+
+
+def test_typed_attribute_literals(spark):
+    rows = [span("t", "1", None, "X", attributes=[("f", "bool", "true"), ("d", "double", "0.500000"), ("i", "int", "7")])]
+    df = frame(spark, rows)
+    for key, value, n in (("f", True, 1), ("f", False, 0), ("d", 0.5, 1), ("i", 7, 1), ("i", "7", 1)):
+        assert search(df, TracePattern({0: "X"}), conditions=[Condition(0, f"attr:{key}", Compare.EQ, value)]).count() == n
+
+
+def test_a_missing_text_is_returned_as_empty(spark):
+    df = frame(spark, [span("t", "1", None, "X", attributes=[("k", "string", "v")]), span("u", "1", None, "X")])
+    for prop, want in (("attr:k", ["", "v"]), ("parent_span_id", ["", ""]), ("latency", [10**10] * 2)):
+        assert sorted(r.value for r in search(df, TracePattern({0: "X"}), returning=Returning(0, prop)).collect()) == want
+    assert search(df, TracePattern({}), returning=Returning(0, "latency")).schema["value"].dataType.simpleString() == "bigint"
+
+
+def test_odd_traces_are_classes_of_their_own(spark):
+    ring = lambda t, last: [span(t, "1", "2", "X"), span(t, "2", "1", last)]
+    twice = lambda t, last: [span(t, "1", None, "X"), span(t, "2", "1", "Y"), span(t, "2", "1", last)]
+    pair = lambda t, a, b: [span(t, "1", "gone", a), span(t, "2", "lost", b)]
+    rows = [*ring("a", "Y"), *ring("b", "Z"), *twice("c", "Y"), *twice("d", "Z"), *pair("e", "X", "Y"), *pair("f", "Y", "X"), *pair("g", "X", "Z"), span("h", "1", "1", "X"), *[span("i", str(k), None, None) for k in range(2)]]
+    df = frame(spark, rows)
+    hashes = structure.structure_hashes(df, 4)
+    of = {r.trace_id: r.structure_hash for r in hashes.collect()}
+    assert len(of) == 9 and of["e"] == of["f"] and len(set(of.values())) == 8
+    for p in (*PATTERNS, TracePattern({0: ANY_SERVICE, 1: ANY_SERVICE}), TracePattern({0: "Z"})):
+        plain = sorted(map(tuple, search(df, p).collect()))
+        assert sorted(map(tuple, search(df, p, hashes=hashes).collect())) == plain
+        assert sorted(map(tuple, search(df, p, hashes=hashes.where("trace_id < 'e'")).collect())) == plain
+
+
+def test_rarest_label_first(spark):
+    from tracelattice.operators.pattern import placement
+    from tracelattice.plans.planner import label_counts
+
+    df = frame(spark, [span("t", "1", None, "X"), span("t", "2", "1", "X"), span("t", "3", "2", "Y")])
+    p = TracePattern({0: "X", 1: "X", 2: "Y"}, [(0, 1), (1, 2)])
+    found = label_counts(df, p)
+    assert found == {"X": 2, "Y": 1} and placement(p, found) == [2, 1, 0]
+    assert search(df, p, counts=found).count() == search(df, p).count() == 1
+
+
 def test_traces_deeper_than_their_hash_are_matched_by_themselves(spark):
     chain = lambda t, n, last: [span(t, f"{t}.{i}", f"{t}.{i - 1}" if i else None, last if i == n - 1 else "X") for i in range(n)]
     df = frame(spark, chain("a", 12, "Y") + chain("b", 12, "Z") + chain("c", 12, "Y") + chain("d", 3, "Y") + chain("e", 3, "Y") + chain("f", 8, "Y") + chain("g", 8, "Y"))

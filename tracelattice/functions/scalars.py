@@ -62,6 +62,36 @@ def as_text(c: Column, kind: str) -> Column:
     return hex_id(c) if kind == "bytes" else c.cast("string")
 
 
+def literal_text(value: object) -> str:
+    """A literal in the form that ``as_text`` gives a property of its type."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"{value:.6f}"
+    return value.hex() if isinstance(value, bytes | bytearray) else str(value)
+
+
+def replace_all(c: Column, old: str, new: str) -> Column:
+    """Every occurrence from left to right; an empty ``old`` changes nothing."""
+    return F.replace(c, F.lit(old), F.lit(new)) if old else c
+
+
+def is_spans_folder(c: Column) -> Column:
+    """True for folders of spans: neither an index nor structures nor hashes of traces."""
+    return ~(F.startswith(c, F.lit("index-")) | F.startswith(c, F.lit("dyntraces")) | F.startswith(c, F.lit("tracehashes")))
+
+
+def index_folder(prop: Column) -> Column:
+    """Folder of an attribute's index."""
+    return F.concat(F.lit("index-"), replace_all(prop, ".", "-"))
+
+
+def progress_text(done: float, label: str, width: int = 70) -> str:
+    """One line with a bar."""
+    at = int(width * done)
+    return f" [{'=' * min(at, width)}{'>' * (at < width)}{' ' * max(0, width - at - 1)}] {int(done * 100)}% {label}"
+
+
 # Index node arithmetic -------------------------------------------------------------------------
 
 
@@ -96,6 +126,13 @@ def time_prefixes(earliest: int, latest: int) -> list[str]:
     return [str(p) for p in range(earliest // cut, latest // cut + 1)]
 
 
+def effective_fpp(bits: int, hashes: int, inserted: int) -> float:
+    """False positive rate of a Bloom filter that holds ``inserted`` values."""
+    from math import exp
+
+    return (1 - exp(-hashes * inserted / bits)) ** hashes
+
+
 def bloom_size(n: int, fpp: float) -> tuple[int, int]:
     """Bits and hash functions of a Bloom filter for n keys at a false positive rate."""
     from math import ceil, log

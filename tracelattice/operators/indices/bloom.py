@@ -7,6 +7,8 @@ A leaf covers ``granularity`` seconds and holds one filter per batch; each level
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ SCHEMA = "level int, start_s bigint, end_s bigint, batch string, bucket bigint,
 NODE = ["level", "start_s", "end_s", "batch"]
 
 
+def node_key(nodes: DataFrame) -> list[str]:
+    """Runs of an index that grew have filters of their own, also of one node."""
+    return [*NODE, "run"] if "run" in nodes.columns else NODE
+
+
 def positions(value, bits: int, hashes: int):
     """Bit positions of a value: double hashing, from 1."""
     h1, h2 = F.xxhash64(value), F.xxhash64(value, F.lit(1))
@@ -75,7 +82,7 @@ def holding(nodes: DataFrame, value: str, n: int, fpp: float) -> DataFrame:
     buckets = p.select(F.bitmap_bucket_number("p").alias("bucket")).distinct().agg(F.count("*").alias("n_buckets"))
     bit = lambda i: F.getbit(F.conv(F.hex(F.substring("bits", (i / 8).cast("int") + 1, 1)), 16, 10).cast("int"), (i % 8).cast("int")) == 1
     full = nodes.join(F.broadcast(want), "bucket").where(F.forall("at", bit))  # at most ``hashes`` rows
-    return full.groupBy(*NODE).agg(F.count("*").alias("got")).join(F.broadcast(buckets), F.col("got") == F.col("n_buckets"), "left_semi").select(*NODE)
+    return full.groupBy(*node_key(nodes)).agg(F.count("*").alias("got")).join(F.broadcast(buckets), F.col("got") == F.col("n_buckets"), "left_semi").select(*NODE)
 
 
 def probe(nodes: DataFrame, value: str, levels: int, w: Window | None = None, n: int = 10_000, fpp: float = 1e-4) -> DataFrame:
@@ -91,6 +98,31 @@ def probe(nodes: DataFrame, value: str, levels: int, w: Window | None = None, n:
     return above.select("batch").where(F.col("batch").isNotNull()).distinct()
 
 
+def compact(nodes: DataFrame) -> DataFrame:
+    """One filter for each node: the union of those of all runs."""
+    return nodes.groupBy(*NODE, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def widest(nodes: DataFrame) -> DataFrame:
+    """Bounds of the root: the widest node, the first of these."""
+    top = F.max_by(F.struct("start_s", "end_s"), F.struct(F.col("end_s") - F.col("start_s"), -F.col("start_s")))
+    return nodes.agg(top.alias("r")).select("r.*")
+
+
+def combine(left: DataFrame, right: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """Bitmaps (columns ``by``, bits) of two tables put together by ``and``, ``or`` or ``xor``; a bitmap that
+    one table lacks is empty there."""
+    op = {"and": np.bitwise_and, "or": np.bitwise_or, "xor": np.bitwise_xor}[how]
+
+    @F.pandas_udf("binary")
+    def merged(a: pd.Series, b: pd.Series) -> pd.Series:
+        as_bits = lambda x, y: np.frombuffer(x if x is not None else bytes(len(y)), np.uint8)
+        return pd.Series([op(as_bits(x, y), as_bits(y, x)).tobytes() for x, y in zip(a, b)], dtype=object)
+
+    both = left.select(*by, F.col("bits").alias("a")).join(right.select(*by, F.col("bits").alias("b")), by, "full")
+    return both.select(*by, merged("a", "b").alias("bits"))
+
+
 def verify(spans: DataFrame, batches: DataFrame, prop: str, value: str) -> DataFrame:
     """Exact traces among the candidate batches."""
     return spans.join(batches, "batch", "left_semi").where(property_column(prop).cast("string") == value).select("batch", "trace_id").distinct()

@@ -25,13 +25,20 @@ def build(spans: DataFrame, keys: list[str] | None = None, after: int | None = N
     return rows.select(F.col("a.key").alias("attr_key"), F.col("a.value").alias("attr_value"), "batch", "trace_id").distinct()
 
 
-def write(index: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+def layout(index: DataFrame) -> DataFrame:
+    """Rows by key and value, those of one value in up to 64 tasks."""
+    spread = index.repartition("attr_key", "attr_value", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
+    return spread.sortWithinPartitions("attr_key", "attr_value")
+
+
+def save(arranged: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
     """Folders by key, rows sorted by value: a probe opens one folder and skips row groups by their
     statistics.  Values are no folders, since a key may have millions of them."""
-    spread = index.repartition("attr_key", "attr_value", F.pmod(F.xxhash64("trace_id"), F.lit(64)))
-    spread.sortWithinPartitions("attr_key", "attr_value").write.mode("append").partitionBy("attr_key").option(
-        "maxRecordsPerFile", rows_per_file
-    ).parquet(path)
+    arranged.write.mode("append").partitionBy("attr_key").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def write(index: DataFrame, path: str) -> None:
+    save(layout(index), path)
 
 
 def probe(index: DataFrame, key: str, value: str, w: Window | None = None) -> DataFrame:

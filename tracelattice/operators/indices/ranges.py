@@ -11,6 +11,7 @@ from tracelattice.operators.predicates import OPS, property_column
 
 NODE_S, NODES_PER_SUMMARY = 100, 5  # fixed values: seconds of a node, nodes of a summary
 
+EXACT = "decimal(38,9)"
 SCHEMA = "attr string, node_start bigint, value_str string, value_num double, batch string, trace_id string, start_s bigint"
 
 
@@ -27,11 +28,17 @@ def build(spans: DataFrame, prop: str, node_s: int = NODE_S, after: int | None =
     )
 
 
-def write(index: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+def layout(index: DataFrame) -> DataFrame:
     """Range partitions of (node, value): Parquet statistics are the summaries."""
-    index.repartitionByRange("node_start", "value_num").sortWithinPartitions("node_start", "value_num", "value_str").write.mode(
-        "append"
-    ).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    return index.repartitionByRange("node_start", "value_num", "trace_id").sortWithinPartitions("node_start", "value_num", "value_str")
+
+
+def save(arranged: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    arranged.write.mode("append").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def write(index: DataFrame, path: str) -> None:
+    save(layout(index), path)
 
 
 def summaries(index: DataFrame, node_s: int = NODE_S, nodes: int = NODES_PER_SUMMARY) -> DataFrame:
@@ -42,12 +49,20 @@ def summaries(index: DataFrame, node_s: int = NODE_S, nodes: int = NODES_PER_SUM
 
 
 def probe(index: DataFrame, prop: str, compare: Compare, value: str, w: Window | None = None, node_s: int = NODE_S, lexical: bool = False) -> DataFrame:
-    """Traces with a span that satisfies the comparison; numbers compare as numbers unless ``lexical``."""
+    """Traces with a span that satisfies the comparison; numbers compare as numbers unless ``lexical``.
+
+    ``value_num`` is the nearest double, so it only prunes, with its bound included; the text decides, as a
+    decimal of 9 places.
+    """
     rows = index.where(F.col("attr") == prop)
     if w is not None:
         rows = rows.where((F.col("node_start") >= w.start_s - w.start_s % node_s) & (F.col("node_start") <= w.end_s) & F.col("start_s").between(w.start_s, w.end_s))
-    column, to = (F.col("value_str"), str(value)) if lexical else (F.col("value_num"), float(value))
-    return rows.where(OPS[compare](column, F.lit(to))).select("batch", "trace_id").distinct()
+    if lexical:
+        rows = rows.where(OPS[compare](F.col("value_str"), F.lit(str(value))))
+    else:
+        near = {Compare.EQ: F.col("value_num") == float(value), Compare.LT: F.col("value_num") <= float(value), Compare.GT: F.col("value_num") >= float(value)}[compare]
+        rows = rows.where(near).where(OPS[compare](F.col("value_str").try_cast(EXACT), F.lit(str(value)).cast(EXACT)))
+    return rows.select("batch", "trace_id").distinct()
 
 
 def split_node(sizes: list[int], limit: int) -> list[list[int]]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelattice.model import ANY_SERVICE, Condition, TracePattern
@@ -98,15 +98,23 @@ def matching_traces(spans: DataFrame, p: TracePattern, conditions: list[Conditio
     if star and not conditions:
         root, need = star
         kids = spans.where(F.col("service").isin(list(need))).groupBy(*KEYS, F.col("parent_span_id").alias("n0")).agg(
-            *[F.count(F.when(F.col("service") == s, 1)).alias(f"k{j}") for j, s in enumerate(need)]
+            *[at_least(F.when(F.col("service") == s, F.col("span_id")), n).alias(f"k{j}") for j, (s, n) in enumerate(need.items())]
         )
-        for j, n in enumerate(need.values()):
-            kids = kids.where(F.col(f"k{j}") >= n)
+        for j in range(len(need)):
+            kids = kids.where(f"k{j}")
         tops = spans.where(F.col("service") == root).select(*KEYS, F.col("span_id").alias("n0"))
         return tops.join(kids, [*KEYS, "n0"], "left_semi").select(*KEYS).distinct()
     return match(spans, p, conditions, **how).select(*KEYS).distinct()
 
 
+def at_least(ids: Column, n: int) -> Column:
+    """Aggregate: are there ``n`` different ids?  Up to two are told by 64-bit hashes in fixed-size buffers."""
+    if n == 1:
+        return F.count(ids) > 0
+    h = F.when(ids.isNotNull(), F.xxhash64(ids))
+    return F.coalesce(F.min(h) != F.max(h), F.lit(False)) if n == 2 else F.array_size(F.collect_set(ids)) >= n
+
+
 def star_shape(p: TracePattern) -> tuple[str, dict[str, int]] | None:
     """(root label, children per label) if every edge leaves one root and no label is a wildcard."""
     tops = {a for a, _ in p.edges}

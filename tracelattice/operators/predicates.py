@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracelattice.functions.scalars import attribute, latency, seconds
+from tracelattice.functions.scalars import attribute, latency, literal_text, seconds
 from tracelattice.model import Compare, Condition
 
 OPS = {Compare.EQ: lambda a, b: a == b, Compare.LT: lambda a, b: a < b, Compare.GT: lambda a, b: a > b}
@@ -25,9 +25,9 @@ def property_column(prop: str) -> Column:
 def predicate(c: Condition) -> Column:
     """True where the condition holds; a missing value never satisfies it.
 
-    Attributes compare as UTF-8 text; everything else in its own type's order.
+    Attributes compare as UTF-8 text, in the form of ``as_text``; everything else in its own type's order.
     """
-    value = str(c.value) if c.prop.startswith("attr:") else c.value
+    value = literal_text(c.value) if c.prop.startswith("attr:") else c.value
     return F.coalesce(OPS[c.compare](property_column(c.prop), F.lit(value)), F.lit(False))
 
 

@@ -10,27 +10,35 @@ from tracelattice.operators.pattern import KEYS, match
 
 
 def structure_hashes(spans: DataFrame, depth: int) -> DataFrame:
-    """(structure_hash, batch, trace_id): an order-free hash of each trace's labelled tree.
+    """(structure_hash, batch, trace_id), a row per trace: an order-free hash of its labelled forest.
 
-    A span's hash covers its service and its children's sorted hashes.  ``depth`` is the number of
-    levels; a trace with deeper calls is a class of its own, so it is matched by itself.
+    A span's hash covers its service and its children's sorted hashes.  A trace's hash is that of its root,
+    or covers the sorted hashes of all spans without a parent in the trace (orphans are such).  A trace that
+    the hashes do not cover wholly is a class of its own, so it is matched by itself: deeper calls than
+    ``depth`` levels, calls in a ring, a span id that occurs twice.
     """
-    nodes = spans.select(*KEYS, "span_id", "parent_span_id", "service")
-    leaf = F.md5(F.concat("service", F.lit("()")))
-    parents = nodes.where(F.col("parent_span_id").isNotNull()).select(*KEYS, F.col("parent_span_id").alias("span_id"), F.lit(True).alias("calls")).distinct()
-    # This hash stays only at the last level; calls below it are not seen, so it names the trace.
-    own = F.md5(F.concat("service", F.lit("(..."), F.to_json(F.struct(*KEYS)), F.lit(")")))
-    hashed = nodes.join(parents, [*KEYS, "span_id"], "left").withColumn("h", F.when(F.col("calls"), own).otherwise(leaf)).drop("calls")
+    service = F.coalesce("service", F.lit("\x00"))  # no service has this name
+    nodes = spans.select(*KEYS, "span_id", "parent_span_id", service.alias("service"))
+    known = nodes.select(*KEYS, F.col("span_id").alias("parent_span_id"), F.lit(True).alias("known")).distinct()
+    nodes = nodes.join(known, [*KEYS, "parent_span_id"], "left").withColumn("top", F.col("known").isNull()).drop("known")
+    hashed = nodes.withColumns({"h": F.md5(F.concat("service", F.lit("()"))), "n": F.lit(1).cast("bigint")})
     for _ in range(depth - 1):
         kids = (
-            hashed.where(F.col("parent_span_id").isNotNull())
+            hashed.where(~F.col("top"))
             .groupBy(*KEYS, F.col("parent_span_id").alias("span_id"))
-            .agg(F.array_join(F.array_sort(F.collect_list("h")), ",").alias("kids"))
+            .agg(F.array_join(F.array_sort(F.collect_list("h")), ",").alias("kids"), F.sum("n").alias("below"))
         )
-        hashed = nodes.join(kids, [*KEYS, "span_id"], "left").withColumn(
-            "h", F.md5(F.concat("service", F.lit("("), F.coalesce("kids", F.lit("")), F.lit(")")))
+        hashed = nodes.join(kids, [*KEYS, "span_id"], "left").select(
+            nodes["*"], F.md5(F.concat("service", F.lit("("), F.coalesce("kids", F.lit("")), F.lit(")"))).alias("h"), (1 + F.coalesce("below", F.lit(0))).alias("n")
         )
-    return hashed.where(F.col("parent_span_id").isNull()).select(F.col("h").alias("structure_hash"), *KEYS)
+    traces = hashed.groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.when(F.col("top"), F.col("h")))).alias("tops"), F.sum(F.when(F.col("top"), F.col("n"))).alias("covered"),
+        F.count("*").alias("spans"), F.array_size(F.collect_set("span_id")).alias("ids"),
+    )
+    own = F.md5(F.concat(F.lit("trace:"), F.to_json(F.struct(*KEYS))))
+    whole = (F.coalesce("covered", F.lit(0)) == F.col("spans")) & (F.col("ids") == F.col("spans"))
+    name = F.when(~whole, own).when(F.size("tops") == 1, F.get("tops", 0)).otherwise(F.md5(F.concat(F.lit("+"), F.array_join("tops", ","))))
+    return traces.select(name.alias("structure_hash"), *KEYS)
 
 
 def exemplars(hashes: DataFrame) -> DataFrame:
@@ -53,3 +61,16 @@ def expand(hashes: DataFrame, classes: DataFrame) -> DataFrame:
 def traces_by_class(spans: DataFrame, hashes: DataFrame, p: TracePattern) -> DataFrame:
     """Same rows as ``matching_traces``; pays where classes repeat."""
     return expand(hashes, matching_classes(spans, hashes, p))
+
+
+def unclassified(spans: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Traces that the class table lacks, as those that came after it was made."""
+    return spans.select(*KEYS).distinct().join(hashes.select(*KEYS), KEYS, "left_anti")
+
+
+def trace_text(spans: DataFrame) -> DataFrame:
+    """(batch, trace_id, n_nodes, node_names, edges): each trace's structure in words, for a look at it."""
+    name = F.concat_ws(" : ", "span_id", "service")
+    edge = F.when(F.col("parent_span_id").isNotNull(), F.concat_ws(" : ", "parent_span_id", "span_id"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ", ")
+    return spans.groupBy(*KEYS).agg(F.count("*").alias("n_nodes"), listed(name).alias("node_names"), listed(edge).alias("edges"))

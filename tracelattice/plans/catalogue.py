@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelattice import scratch
-from tracelattice.functions.scalars import as_text, batch_bounds, batch_of_object, floor_to, latency, seconds, split_tokens, strip_last
+from tracelattice.functions.scalars import as_text, batch_of_object, floor_to, index_folder, is_spans_folder, latency, replace_all, seconds, split_tokens, strip_last, time_prefixes
 from tracelattice.model import ANY_SERVICE, Compare, Condition, IndexKind, Returning, TracePattern, Window
 from tracelattice.operators import batches as B
 from tracelattice.operators import counts, structure
-from tracelattice.operators.indices import bloom, inverted, ranges
-from tracelattice.operators.indices.catalog import Catalog, Entry, intersect
+from tracelattice.operators.indices import bloom, inverted, ranges, upkeep
+from tracelattice.operators.indices.catalog import Catalog, intersect
 from tracelattice.operators.pattern import match
 from tracelattice.operators.predicates import predicate
-from tracelattice.plans.planner import search
+from tracelattice.plans.planner import label_counts, search
 from tracelattice.sources import text
 from tracelattice.sources.derived import chain_spans, order_spans, table
+from tracelattice.sources.otlp import decode_otlp, encode_otlp
 from tracelattice.streaming.maintain import maintain, read_index
 
 ONE_CALL = TracePattern({0: "order.F", 1: "line.AF"}, [(0, 1)])
@@ -48,7 +51,7 @@ lev AS (
   UNION ALL SELECT o_orderkey, seq, 3, us, b, 'supp.' || r_name, abs(s_acctbal), 'nation', n_name
          FROM o JOIN l ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
          JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-spans AS (
+spans AS MATERIALIZED (
   SELECT lpad(CAST(b % 100 AS VARCHAR), 2, '0') || '-' || CAST(b * 2592000 AS VARCHAR) || '-' || CAST(b * 2592000 + 2591999 AS VARCHAR) AS batch,
          b * 2592000 AS b_start, b * 2592000 + 2591999 AS b_end,
          printf('%032x', k) AS trace_id, printf('%016x', k * 1000 + seq * 10 + lv) AS span_id,
@@ -58,7 +61,7 @@ spans AS (
   FROM lev)
 """
 CHAIN_SQL = """
-WITH spans AS (
+WITH spans AS MATERIALIZED (
   SELECT '00-0-99999' AS batch, printf('%032x', conv_id) AS trace_id, printf('%016x', conv_id * 1000 + turn) AS span_id,
          CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN printf('%016x', conv_id * 1000 + turn - 1) END AS parent_span_id, role AS service
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
@@ -77,13 +80,16 @@ def add(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None
 
 
 def joined(nodes: dict[int, str], edges: list[tuple[int, int]], where: str = "") -> str:
-    """FROM and WHERE of a pattern as a plain self-join."""
-    tables = ", ".join(f"spans n{i}" for i in nodes)
-    on = [f"n{i}.service = '{s}'" for i, s in nodes.items() if s != ANY_SERVICE]
-    on += [f"n{i}.trace_id = n0.trace_id AND n{i}.batch = n0.batch" for i in nodes if i]
-    on += [f"n{b}.parent_span_id = n{a}.span_id" for a, b in edges]
-    on += [f"n{a}.span_id <> n{b}.span_id" for a in nodes for b in nodes if a < b]
-    return f"FROM {tables} WHERE {' AND '.join(on)} {where}"
+    """FROM and WHERE of a pattern as self-joins, node by node."""
+    out, placed = "FROM spans n0", [0]
+    for i in list(nodes)[1:]:
+        on = [f"n{i}.trace_id = n0.trace_id AND n{i}.batch = n0.batch"]
+        on += [f"n{b}.parent_span_id = n{a}.span_id" for a, b in edges if i in (a, b) and {a, b} <= {*placed, i}]
+        on += [f"n{i}.service = '{nodes[i]}'"] if nodes[i] != ANY_SERVICE else []
+        on += [f"n{i}.span_id <> n{j}.span_id" for j in placed]
+        out += f" JOIN spans n{i} ON {' AND '.join(on)}"
+        placed.append(i)
+    return f"{out} WHERE {'true' if nodes[0] == ANY_SERVICE else f"n0.service = '{nodes[0]}'"} {where}"
 
 
 def traces_sql(p: TracePattern, where: str = "") -> str:
@@ -119,6 +125,9 @@ for _name, _c, _sql in (
     ("cond_start_time", Condition(0, "start_ns", Compare.LT, 800_000_000_000_000_000), "start_ns < 800000000000000000"),
     ("cond_end_time", Condition(0, "end_ns", Compare.GT, 890_000_000_000_000_000), "end_ns > 890000000000000000"),
     ("cond_bytes_eq", Condition(0, "span_id", Compare.EQ, "00000000000003e8"), "span_id = '00000000000003e8'"),
+    ("cond_bytes_lt", Condition(0, "span_id", Compare.LT, "00000000000003ef"), "span_id < '00000000000003ef'"),
+    ("cond_bytes_gt", Condition(0, "parent_span_id", Compare.GT, "0000000000e00000"), "parent_span_id > '0000000000e00000'"),
+    ("cond_attr_int", Condition(0, "attr:http.status_code", Compare.EQ, 200), "attr_key = 'http.status_code' AND attr_value = '200'"),
     ("cond_string", Condition(0, "service", Compare.LT, "line.B"), "service < 'line.B'"),
     ("cond_int", Condition(0, "start_s", Compare.LT, 800_000_000), "start_ns // 1000000000 < 800000000"),
 ):
@@ -144,6 +153,13 @@ add(
     "SELECT n0.trace_id AS trace_id, CAST(n3.end_ns - n3.start_ns AS VARCHAR) AS latency " + joined(HEIGHT.nodes, HEIGHT.edges),
 )
 
+add(
+    "return_missing_text",
+    lambda s: search(s, ONE_CALL, returning=Returning(1, "attr:brand")).select("trace_id", F.col("value").alias("brand")),
+    "SELECT n0.trace_id AS trace_id, '' AS brand " + joined(ONE_CALL.nodes, ONE_CALL.edges),
+)
+add("pattern_rarest_first", lambda s: search(s, HEIGHT, counts=label_counts(s, HEIGHT)), traces_sql(HEIGHT))
+
 # Batches and windows
 _WIN = f"b_start <= {YEAR.end_s} AND b_end >= {YEAR.start_s}"
 add("list_batches", lambda s: B.batches(s), "SELECT DISTINCT batch, b_start AS start_s, b_end AS end_s FROM spans")
@@ -160,6 +176,11 @@ add(
     f"SELECT batch, trace_id FROM spans n0 WHERE parent_span_id IS NULL AND {_IN}",
 )
 add("pattern_in_window", lambda s: search(s, ONE_CALL, YEAR), traces_sql(ONE_CALL, f"AND {_IN}"))
+add(
+    "window_prefixes",
+    lambda s: B.batches(s).where(reduce(or_, [F.startswith(F.col("start_s").cast("string"), F.lit(p)) for p in time_prefixes(YEAR.start_s, YEAR.end_s)])).select("batch"),
+    f"SELECT DISTINCT batch FROM spans WHERE b_start // 10000000 BETWEEN {YEAR.start_s // 10**7} AND {YEAR.end_s // 10**7}",
+)
 add("min_batch_start", lambda s: B.lowest_start(s), "SELECT min(b_start) AS min_start_s FROM spans")
 add("list_services", lambda s: B.services(s), "SELECT DISTINCT service FROM spans")
 add("root_service", lambda s: B.roots(s).select("trace_id", "service"), "SELECT trace_id, service FROM spans WHERE parent_span_id IS NULL")
@@ -211,6 +232,27 @@ add(
     lambda s: s.groupBy(floor_to(seconds(F.col("start_ns")), ranges.NODE_S).alias("node_start"), floor_to(seconds(F.col("start_ns")), ranges.NODE_S * ranges.NODES_PER_SUMMARY).alias("summary_start")).agg(F.count("*").alias("n_spans")),
     "SELECT x - x % 100 AS node_start, x - x % 500 AS summary_start, count(*) AS n_spans FROM (SELECT start_ns // 1000000000 AS x FROM spans) GROUP BY 1, 2",
 )
+add(
+    "naming_helpers",
+    lambda s: s.select(F.explode("attributes").alias("a"), "service").select(F.col("a.key").alias("key"), "service").distinct().select(
+        index_folder(F.col("key")).alias("folder"), is_spans_folder(index_folder(F.col("key"))).alias("index_is_spans"), is_spans_folder(F.col("service")).alias("service_is_spans"), replace_all(F.col("service"), "r.", "::").alias("replaced")
+    ),
+    "SELECT DISTINCT 'index-' || replace(attr_key, '.', '-') AS folder, false AS index_is_spans, true AS service_is_spans, replace(service, 'r.', '::') AS replaced FROM (SELECT DISTINCT attr_key, service FROM spans)",
+)
+add(
+    "otlp_round_trip",
+    lambda s: decode_otlp(encode_otlp(s)).select(
+        "batch", "trace_id", "span_id", "parent_span_id", "service", "name", "start_ns", "end_ns", F.col("attributes")[0]["key"].alias("attr_key"), F.col("attributes")[0]["type"].alias("attr_type"), F.col("attributes")[0]["value"].alias("attr_value")
+    ),
+    """SELECT batch, trace_id, span_id, parent_span_id, service, CASE lv WHEN 0 THEN 'order' WHEN 1 THEN 'line' WHEN 2 THEN 'part' ELSE 'supplier' END AS name, start_ns, end_ns, attr_key,
+    CASE attr_key WHEN 'http.status_code' THEN 'int' ELSE 'string' END AS attr_type, attr_value FROM spans""",
+)
+add(
+    "trace_text",
+    structure.trace_text,
+    """SELECT batch, trace_id, count(*) AS n_nodes, string_agg(span_id || ' : ' || service, ', ' ORDER BY span_id || ' : ' || service) AS node_names,
+    coalesce(string_agg(parent_span_id || ' : ' || span_id, ', ' ORDER BY parent_span_id || ' : ' || span_id), '') AS edges FROM spans GROUP BY 1, 2""",
+)
 add("search_bad_window", lambda s: search(s, ONE_CALL, Window(YEAR.end_s, YEAR.start_s)), "SELECT batch, trace_id FROM spans WHERE false")
 BY_ID = Condition(0, "trace_id", Compare.EQ, f"{367:032x}")
 add("pattern_trace_id", lambda s: search(s, CANONICAL, conditions=[BY_ID]), traces_sql(CANONICAL, f"AND n0.trace_id = '{BY_ID.value}'"))
@@ -261,6 +303,17 @@ def class_pattern(spans: DataFrame) -> DataFrame:
 
 add("class_pattern", class_pattern, traces_sql(ONE_CALL))
 
+
+
+def class_orphans(spans: DataFrame) -> DataFrame:
+    """Without the roots of finished orders, their lines are orphans; all of these are in the class."""
+    left = spans.where("service <> 'order.F'")
+    return search(left, CALL_OF_PART, hashes=scratch.materialise(structure.structure_hashes(left, 4), "classes"))
+
+
+CALL_OF_PART = TracePattern({0: "line.AF", 1: "part.PROMO"}, [(0, 1)])
+add("class_orphans", class_orphans, traces_sql(CALL_OF_PART))
+
 # Inverted index
 add("inverted_build", lambda s: inverted.build(s), "SELECT DISTINCT attr_key, attr_value, batch, trace_id FROM spans")
 
@@ -344,6 +397,27 @@ def bloom_candidates(spans: DataFrame) -> DataFrame:
 
 add("bloom_candidates", bloom_candidates)
 add("bloom_probe_verified", lambda s: bloom.verify(s, bloom_candidates(s), "trace_id", LOOKUP), f"SELECT DISTINCT batch, trace_id FROM spans WHERE trace_id = '{LOOKUP}'")
+add(
+    "bloom_root",
+    lambda s: bloom.widest(bloom.build(s, "trace_id", LEAF_S, FAN, LEVELS, 2_000, 1e-3)),
+    f"SELECT min(x - x % {LEAF_S * FAN**2}) AS start_s, min(x - x % {LEAF_S * FAN**2}) + {LEAF_S * FAN**2} AS end_s FROM (SELECT start_ns // 1000000000 AS x FROM spans)",
+)
+
+
+def bitmap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that have orders and those that have none, by bitmaps of their numbers."""
+    of = lambda name, c: table(spark, sf_dir, name).groupBy(F.bitmap_bucket_number(c).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(c)).alias("bits"))
+    ordered, known = of("orders", "o_custkey"), of("customer", "c_custkey")
+    parts = [bloom.combine(ordered, known, how, ["bucket"]).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("bigint").alias("n")).select(F.lit(how).alias("how"), "n") for how in ("and", "or", "xor")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES["bitmap_sets"] = bitmap_sets
+ORACLES["bitmap_sets"] = """
+WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT DISTINCT c_custkey AS k FROM customer),
+b AS (SELECT o.k AS a, c.k AS b FROM o FULL JOIN c ON o.k = c.k)
+SELECT 'and' AS how, count(*) AS n FROM b WHERE a IS NOT NULL AND b IS NOT NULL UNION ALL SELECT 'or', count(*) FROM b
+UNION ALL SELECT 'xor', count(*) FROM b WHERE a IS NULL OR b IS NULL"""
 add("trace_lookup", lambda s: bloom.lookup(s, "trace_id", LOOKUP), f"SELECT min(batch) AS batch FROM spans WHERE trace_id = '{LOOKUP}'")
 add("span_lookup", lambda s: bloom.lookup(s, "span_id", "00000000000003e8"), "SELECT min(batch) AS batch FROM spans WHERE span_id = '00000000000003e8'")
 
@@ -352,17 +426,31 @@ ATTR = Condition(0, "attr:priority", Compare.EQ, "1-URGENT")
 SLOW_LINE = Condition(1, "latency", Compare.GT, 5_000_000_000)
 
 
-def indexed_search(spans: DataFrame, last_updated: int) -> DataFrame:
-    old = spans.where(batch_bounds(F.col("batch"))[0] <= last_updated)
+def indexed(spans: DataFrame, until: list[int], *indexes: tuple[str, IndexKind]) -> Catalog:
+    """A catalog of indexes that were updated up to each of these seconds."""
     catalog = Catalog(spans.sparkSession)
-    catalog.put(Entry(ATTR.prop, IndexKind.INVERTED, written(spans, inverted.build(old, ["priority"]), inverted.write, "inverted"), 0, last_updated))
-    catalog.put(Entry("latency", IndexKind.RANGE, written(spans, ranges.build(old, "latency"), ranges.write, "range"), ranges.NODE_S, last_updated))
-    return search(spans, ONE_CALL, conditions=[ATTR, SLOW_LINE], catalog=catalog)
+    for prop, kind in indexes:
+        for second in until:
+            upkeep.update(spans, catalog, prop, kind, second, **({"granularity": LEAF_S, "fan": FAN, "levels": LEVELS} if kind is IndexKind.BLOOM else {}))
+    return catalog
+
+
+def indexed_search(spans: DataFrame, *until: int) -> DataFrame:
+    return search(spans, ONE_CALL, conditions=[ATTR, SLOW_LINE], catalog=indexed(spans, list(until), (ATTR.prop, IndexKind.INVERTED), ("latency", IndexKind.RANGE)))
 
 
 _INDEXED = traces_sql(ONE_CALL, "AND n0.attr_key = 'priority' AND n0.attr_value = '1-URGENT' AND n1.end_ns - n1.start_ns > 5000000000")
 add("index_search", lambda s: indexed_search(s, 4_000_000_000), _INDEXED)
 add("index_freshness", lambda s: indexed_search(s, YEAR.start_s), _INDEXED)
+add("index_incremental", lambda s: indexed_search(s, YEAR.start_s, YEAR.end_s, 4_000_000_000), _INDEXED)
+add("index_in_window", lambda s: search(s, ONE_CALL, YEAR, [ATTR, SLOW_LINE], catalog=indexed(s, [4_000_000_000], (ATTR.prop, IndexKind.INVERTED), ("latency", IndexKind.RANGE))), f"{_INDEXED} AND {_IN}")
+_BY_ATTR = traces_sql(ONE_CALL, "AND n0.attr_key = 'priority' AND n0.attr_value = '1-URGENT'")
+add("index_bloom_search", lambda s: search(s, ONE_CALL, conditions=[ATTR], catalog=indexed(s, [4_000_000_000], (ATTR.prop, IndexKind.BLOOM))), _BY_ATTR)
+add("bloom_incremental", lambda s: search(s, ONE_CALL, conditions=[ATTR], catalog=indexed(s, [YEAR.start_s, 4_000_000_000], (ATTR.prop, IndexKind.BLOOM))), _BY_ATTR)
+EXACT = Condition(1, "start_ns", Compare.GT, 852_076_800_001_000_000)
+add("index_range_time", lambda s: search(s, ONE_CALL, conditions=[EXACT], catalog=indexed(s, [4_000_000_000], ("start_ns", IndexKind.RANGE))), traces_sql(ONE_CALL, f"AND n1.start_ns > {EXACT.value}"))
+LABEL = Condition(1, "name", Compare.GT, "lind")
+add("index_range_text", lambda s: search(s, ONE_CALL, conditions=[LABEL], catalog=indexed(s, [YEAR.end_s], ("name", IndexKind.RANGE))), traces_sql(ONE_CALL))
 add(
     "index_intersection",
     lambda s: intersect([inverted.probe(inverted.build(s), "priority", "1-URGENT"), inverted.probe(inverted.build(s), "brand", "Brand#12"), search(s, ONE_CALL)]),
@@ -379,7 +467,7 @@ add(
     f"{traces_sql(HEIGHT)} UNION {traces_sql(CANONICAL)}",
 )
 add("count_traces_spans", lambda s: counts.traces_and_spans(s), "SELECT count(DISTINCT trace_id) AS n_traces, count(DISTINCT span_id) AS n_spans FROM spans")
-QUERIES["object_sizes"] = lambda spark, sf_dir: counts.object_sizes(spark, f"{sf_dir}/orders.parquet")
+QUERIES["object_sizes"] = lambda spark, sf_dir: counts.object_sizes(spark, sf_dir)
 add(
     "median_latency",
     lambda s: counts.median(s.select((F.col("end_ns") - F.col("start_ns")).alias("v")), "v"),

@@ -36,7 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tracelattice/{label}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/tracelattice/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application.  Results read them until they are written, so
+    this is for the end of a job; tables of an application that died are left in a folder of its name."""
+    delete(spark, folder(spark))
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -31,7 +31,7 @@ def any_trace(edges: DataFrame, trace_ids: list[str]) -> DataFrame:
 
 
 def to_blocks(spans: DataFrame) -> DataFrame:
-    """One text block per trace, root first."""
+    """One text block per trace, lines by span id."""
     line = F.concat_ws(":", F.coalesce("parent_span_id", F.lit("")), "span_id", "service", F.lit(""))
     return spans.groupBy("batch", "trace_id").agg(
         F.concat(F.lit(HEADER), F.col("trace_id"), F.lit(":\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_id", line.alias("l")))), lambda x: x["l"]), "\n"), F.lit("\n")).alias("value")
