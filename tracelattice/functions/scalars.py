@@ -31,9 +31,9 @@ def batch_of_object(c: Column) -> Column:
 
 def batch_bounds(c: Column) -> tuple[Column, Column]:
     """Start and end seconds of a batch name ``HH-start-end``; null where the name has another form."""
-    parts = F.split(c, "-")
-    well = F.size(parts) == 3
-    return tuple(F.when(well, F.try_element_at(parts, F.lit(k)).try_cast("bigint")) for k in (2, 3))
+    well = F.octet_length(c) - F.octet_length(F.replace(c, F.lit("-"), F.lit(""))) == 2  # no arrays: this runs for every span
+    parts = F.substring_index(F.substring_index(c, "-", 2), "-", -1), F.substring_index(c, "-", -1)
+    return tuple(F.when(well, x.try_cast("bigint")) for x in parts)
 
 
 def seconds(ns: Column) -> Column:

@@ -49,19 +49,22 @@ def match(
     binding: str = "span",
     counts: dict[str, int] | None = None,
     induced: bool = True,
+    anchor: DataFrame | None = None,
 ) -> DataFrame:
     """One row per mapping of pattern nodes to spans: batch, trace_id, n{i}_span_id and carried columns.
 
     Distinct nodes map to distinct spans.  ``binding='span'`` tests a condition on the bound span;
     ``'service'`` asks for any span of the same service in the trace.  ``induced`` forbids calls
     between mapped spans that the pattern lacks; on trees that matters only for unconnected patterns.
+    ``anchor``: the rows of ``spans`` in traces that count; only the first node is taken from it, since all
+    others join to that one, so what restricts the traces is in the plan once.
     """
     if p.problems():
         raise ValueError("; ".join(p.problems()))
     conditions, carry = conditions or [], carry or {}
     on_span = conditions if binding == "span" else []
     order = placement(p, counts)
-    out = node_rows(spans, p, order[0], on_span, carry.get(order[0], []))
+    out = node_rows(spans if anchor is None else anchor, p, order[0], on_span, carry.get(order[0], []))
     placed = [order[0]]
     for i in order[1:]:
         rows = node_rows(spans, p, i, on_span, carry.get(i, []))
@@ -91,7 +94,7 @@ def match(
     return out.select(*KEYS, *dict.fromkeys(names))
 
 
-def matching_traces(spans: DataFrame, p: TracePattern, conditions: list[Condition] | None = None, **how) -> DataFrame:
+def matching_traces(spans: DataFrame, p: TracePattern, conditions: list[Condition] | None = None, anchor: DataFrame | None = None, **how) -> DataFrame:
     """Distinct (batch, trace_id).  A star of leaf siblings without conditions is answered by counting
     children per label instead of enumerating their permutations."""
     star = star_shape(p)
@@ -102,9 +105,9 @@ def matching_traces(spans: DataFrame, p: TracePattern, conditions: list[Conditio
         )
         for j in range(len(need)):
             kids = kids.where(f"k{j}")
-        tops = spans.where(F.col("service") == root).select(*KEYS, F.col("span_id").alias("n0"))
+        tops = (spans if anchor is None else anchor).where(F.col("service") == root).select(*KEYS, F.col("span_id").alias("n0"))
         return tops.join(kids, [*KEYS, "n0"], "left_semi").select(*KEYS).distinct()
-    return match(spans, p, conditions, **how).select(*KEYS).distinct()
+    return match(spans, p, conditions, anchor=anchor, **how).select(*KEYS).distinct()
 
 
 def at_least(ids: Column, n: int) -> Column:

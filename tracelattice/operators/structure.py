@@ -49,7 +49,7 @@ def exemplars(hashes: DataFrame) -> DataFrame:
 def matching_classes(spans: DataFrame, hashes: DataFrame, p: TracePattern) -> DataFrame:
     """Classes whose exemplar holds the pattern."""
     first = exemplars(hashes)
-    found = match(spans.join(first.select(*KEYS), KEYS, "left_semi"), p).select(*KEYS).distinct()
+    found = match(spans, p, anchor=spans.join(first.select(*KEYS), KEYS, "left_semi")).select(*KEYS).distinct()
     return first.join(found, KEYS, "left_semi").select("structure_hash")
 
 

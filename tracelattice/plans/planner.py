@@ -71,20 +71,19 @@ def search(
     if p.problems() or (w is not None and w.end_s < w.start_s):
         none = spans.limit(0)
         return none.select(*KEYS) if returning.prop == "trace_id" else none.select(*KEYS, value_of(spans, property_column(returning.prop)).alias("value"))
-    rows = in_window(spans, w)
+    rows = anchor = in_window(spans, w)
     if w is not None:
-        rows = rows.join(traces_in_window(spans, w), KEYS, "left_semi")
+        anchor = anchor.join(traces_in_window(spans, w), KEYS, "left_semi")
     if hashes is not None:
-        inside = in_window(spans, w)
-        by_class = structure.traces_by_class(inside, in_window(hashes, w), p).unionByName(structure.unclassified(inside, hashes))
-        rows = rows.join(by_class, KEYS, "left_semi")
+        by_class = structure.traces_by_class(rows, in_window(hashes, w), p).unionByName(structure.unclassified(rows, hashes))
+        anchor = anchor.join(by_class, KEYS, "left_semi")
     entries = catalog.entries() if catalog is not None else []
     found = [(from_index(spans, e, c, w), e) for c in conditions if catalog is not None and (e := catalog.find(c, entries))]
     if found:
-        rows = prune(rows, found)
+        anchor = prune(anchor, found)
     if returning.prop == "trace_id":
-        return matching_traces(rows, p, conditions, binding=binding, counts=counts)
-    hit = match(rows, p, conditions, {returning.node: [returning.prop]}, binding, counts)
+        return matching_traces(rows, p, conditions, anchor, binding=binding, counts=counts)
+    hit = match(rows, p, conditions, {returning.node: [returning.prop]}, binding, counts, anchor=anchor)
     return hit.select(*KEYS, value_of(hit, F.col(carried(returning.node, returning.prop))).alias("value"))
 
 
