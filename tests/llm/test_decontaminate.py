@@ -58,6 +58,18 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.item_id, r.score) for r in D.find(d, b).collect()) == whole
 
 
+def test_very_long_texts_and_ties(spark):
+    r = random.Random(2)
+    word = lambda: f"v{r.randrange(5000)}"
+    item = [f"item{k}" for k in range(20)]
+    long = [word() for _ in range(300_000)]
+    for at in (299_000, 150_000, 150_400):
+        long[at : at + 20] = item
+    d = spark.createDataFrame([(1, " ".join(long), 1), (None, " ".join(long[149_000:152_000]), 2)], "doc_id long, text string, row int")
+    got = D.find(d, spark.createDataFrame([(7, " ".join(item)), (7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.item_id, x.score, x.end_word) for x in got) == [("1", 7, 40, 150_020)] * 2 + [("None", 7, 40, 1_020)] * 2
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     none = spark.createDataFrame([], "doc_id long, text string")

@@ -75,6 +75,26 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert {r.doc_id: r.ids for r in P.run(spark, str(tmp_path)).collect()} == want
 
 
+def test_null_columns_long_texts_and_clashing_names(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    body = lambda n: " ".join(word() for _ in range(n))
+    long = body(150_000) + " token = 'abcdefgh12345678' " + body(100)
+    rows = [(None, body(80), None, None, None), (None, body(80), None, None, 3), (1, long, "en", "h", 0), (2, None, "en", "h", None), (3, "", None, "h", 1)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(*x, "a", 1, "b", True, "c", 0, "d") for x in rows], columns + ", ids string, h int, fp string, kept boolean, blob string, __rid int, host string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, body(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = P.run(spark, str(tmp_path)).collect()
+    assert sorted(str(x.doc_id) for x in got) == ["1", "None", "None"]
+    masked = long[: long.index("token")] + "[SECRET]" + long[long.index("' ", long.index("token")) :]
+    assert next(x.ids for x in got if x.doc_id == 1) == LIBRARY.encode_ordinary(masked)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES:  # a stage takes tables with more columns, too
+        out = stage(spark, docs.drop("__rid"), str(tmp_path))
+        assert out.count() <= 5 and (name == "encoding" or out.columns == P.COLUMNS), name
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -1,8 +1,11 @@
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tracelattice.llm import registry
 from tracelattice.llm import sharding as S
 
 
@@ -19,6 +22,29 @@ def test_sizes_slots_and_rows(spark, bucket_rows):
     assert {len(s) for s in shards.values()} == {41, 42}
 
 
+def test_buckets_are_bounded_by_rows_and_bytes():
+    assert S.buckets_per_shard(0, 0, 24) == 1 and S.buckets_per_shard(24 * 16_384, 10, 24) == 1 and S.buckets_per_shard(24 * 16_384 + 1, 10, 24) == 2
+    assert S.buckets_per_shard(1_000, 24 * (640 << 20), 24) == 10
+
+
+def test_very_long_texts_and_many_buckets(spark):
+    rows = [(i, "é" * (3_000_000 if i < 4 else 5), None) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(5)
+    got = S.shuffle(df, 3, bucket_bytes=1 << 20).select("doc_id", "shard", "slot", F.length("text")).collect()
+    assert sorted((r[0], r[3]) for r in got) == [(i, len(t)) for i, t, _ in rows]
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(3) for k in range(17 if s < 2 else 16)]
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    texts = [None, "", "é\n", "日本", "same", "same"] + [f"text {i} " * (i % 9) for i in range(94)]
+    rows = [(i if i != 3 else None, t, "x") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op4_hypergeometric_sharding(spark, str(tmp_path)).collect()
+    data = lambda t: (t or "").encode()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got), key=str) == sorted(((k, len(data(t)) + 8, zlib.crc32(data(t)), "rows", None) for k, t, _ in rows), key=str)
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range(5 if s < 4 else 4)]
+
+
 def test_same_table_same_order(spark, tmp_path):
     spark.range(300).repartition(5).write.parquet(str(tmp_path / "t"))
     one, two = (sorted(map(tuple, S.shuffle(spark.read.parquet(str(tmp_path / "t")), 4, seed=1).collect())) for _ in range(2))

@@ -12,8 +12,9 @@ shuffled or written.
 3. What is left is aligned; the score (match 2, mismatch and gap -1) is kept if it reaches ``LEAST`` of the
    item's best.
 
-Defined cases: null texts are empty; an item of fewer than ``N`` words matches nothing; repeated
-documents or items are each reported; null ids are reported as null; no documents or items: no rows.
+Defined cases: null texts are empty; a very long text is worked on segment by segment in one task; an item of
+fewer than ``N`` words matches nothing; repeated documents or items are each reported; of places of equal score
+the first counts; null ids are reported as null; other columns are left out; no documents or items: no rows.
 """
 
 from __future__ import annotations

@@ -9,12 +9,13 @@
 3. Within a partition a random permutation says which rows go where (permute locally), then rows are
    exchanged by bucket, and each bucket is put in random order (permute again).
 
-Shards have equal sizes but for one row, and are made of buckets of at most ``BUCKET_ROWS`` rows, so no
-task ever holds a shard.  The driver holds one count per partition.
+Shards have equal sizes but for one row, and are made of buckets of at most ``BUCKET_ROWS`` rows and, on
+average, ``BUCKET_BYTES`` bytes of text and binary columns, so no task ever holds a large shard; a bucket is
+sorted with spill.  The driver holds one count per partition.
 
-Defined cases: null texts and ids are carried as they are; repeated rows are separate rows; shards may be
-empty if there are fewer rows than shards; an empty table gives no rows; input columns named like an
-output give way to it.
+Defined cases: null texts and ids are carried as they are; a very long text is one row of its bucket; repeated
+rows are separate rows; shards may be empty if there are fewer rows than shards; an empty table gives no rows;
+input columns named like an output give way to it.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelattice import scratch
-from tracelattice.llm.common import RID, pack, unpack
+from tracelattice.llm.common import RID, ROW, pack, unpack
 
-BUCKET_ROWS = 16_384
+BUCKET_ROWS, BUCKET_BYTES = 16_384, 64 << 20
 LIMIT = 10**9  # fixed value: numpy draws from populations below this
 
 
@@ -77,17 +78,24 @@ def bucket_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
     return np.diff(cuts, axis=1).reshape(-1)
 
 
-def shuffle(docs: DataFrame, shards: int, seed: int = 0, bucket_rows: int | None = None) -> DataFrame:
+def buckets_per_shard(rows: int, size: int, shards: int, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """So that no bucket has more than these rows, and the mean bucket not more than these bytes."""
+    return max(1, -(-(-(-rows // shards)) // bucket_rows), -(-size // (shards * bucket_bytes)))
+
+
+def shuffle(docs: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard)."""
     staged = scratch.materialise(docs.select(pack(docs), F.monotonically_increasing_id().alias(RID)), "staged")
     source, place = F.shiftright(RID, 33), F.col(RID).bitwiseAND(F.lit((1 << 33) - 1))
-    counted = sorted(map(tuple, staged.groupBy(source.alias("p")).count().collect()))  # one row per partition
-    before = np.concatenate(([0], np.cumsum([n for _, n in counted]))).astype(np.int64)
+    large = [f.name for f in docs.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = sum((F.coalesce(F.octet_length(F.col(f"{ROW}.`{c}`")), F.lit(0)).cast("bigint") for c in large), F.lit(0).cast("bigint"))
+    counted = sorted(map(tuple, staged.groupBy(source.alias("p")).agg(F.count("*"), F.sum(size)).collect()))  # one row per partition
+    before = np.concatenate(([0], np.cumsum([n for _, n, _ in counted]))).astype(np.int64)
     rows = int(before[-1])
-    per_shard = max(1, -(-(rows // shards + 1) // (bucket_rows or BUCKET_ROWS)))
+    per_shard = buckets_per_shard(rows, sum(b for *_, b in counted), shards, bucket_rows, bucket_bytes)
     sizes = bucket_sizes(rows, shards, per_shard)
 
-    known = docs.sparkSession.sparkContext.broadcast((np.array([p for p, _ in counted], np.int64), before, sizes))  # a number per partition and bucket
+    known = docs.sparkSession.sparkContext.broadcast((np.array([p for p, *_ in counted], np.int64), before, sizes))  # a number per partition and bucket
 
     @F.pandas_udf("int")
     def bucket_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
