@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from tracelattice.llm import registry, secrets
@@ -37,6 +38,10 @@ def test_query_matches_the_contract(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = {x.doc_id: x for x in registry.op7_secret_ledger(spark, str(tmp_path)).collect()}
     assert len(rows) == len(texts)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(con.sql(f"SELECT {', '.join(names)} FROM ({registry.op7_sql()})").fetchall()) == sorted(tuple(r[n] for n in names) for r in rows.values())
     for i, t in enumerate(texts):
         want = slow(t or "")
         text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)

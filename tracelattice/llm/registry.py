@@ -116,6 +116,35 @@ SELECT page_id, strlen(h) AS payload_bytes,
 FROM bits
 """
 
+# Kind, pattern in the dialect of the SQL engine (letters in either case spelled out), group, least length.
+OP7_KINDS = [
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 1),
+]
+
+
+def op7_sql() -> str:
+    """Matches and what lies between them tell the places."""
+    parts = []
+    for rank, (kind, pattern, group, least) in enumerate(OP7_KINDS):
+        re = pattern.replace("'", "''")
+        parts.append(f"SELECT rid, {rank} AS rank, '{kind}' AS kind, unnest(range(1, len(ms) + 1)) AS i, ms, ps, '{re}' AS re, {group} AS g, {least} AS least FROM (SELECT rid, regexp_extract_all(t, '{re}') AS ms, string_split_regex(t, '{re}') AS ps FROM d)")
+    length = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT rid, rank, kind, CAST({length.format("ps[1:i]")} + {length.format("ms[1:i - 1]")} AS BIGINT) AS a, length(ms[i]) AS n,
+  CASE WHEN rank = 0 THEN length(regexp_extract(ms[i], '{OP7_KINDS[0][1].replace("'", "''")}', 2)) ELSE length(ms[i]) END AS secret, least FROM m),
+f AS (SELECT *, kind || ':' || a || ':' || (a + n) AS span FROM e WHERE secret >= least)
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans
+FROM d LEFT JOIN f USING (rid) GROUP BY rid, doc_id
+"""
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -139,4 +168,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": OP1_SQL, "op9_quality_line_frequency": OP9_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op7_secret_ledger": op7_sql(), "op9_quality_line_frequency": OP9_SQL}
