@@ -395,7 +395,17 @@ def bloom_candidates(spans: DataFrame) -> DataFrame:
     return bloom.probe(bloom_nodes(spans), LOOKUP, LEVELS, n=2_000, fpp=1e-3)
 
 
-add("bloom_candidates", bloom_candidates)
+
+
+def bloom_hits(spans: DataFrame) -> DataFrame:
+    """Candidate batches of several ids that do hold them; none may be missing."""
+    nodes, ids = bloom_nodes(spans), [LOOKUP, *THREE[:2]]
+    there = spans.where(F.col("trace_id").isin(ids)).select("trace_id", "batch").distinct()
+    found = reduce(DataFrame.unionByName, [bloom.probe(nodes, x, LEVELS, n=2_000, fpp=1e-3).select(F.lit(x).alias("trace_id"), "batch") for x in dict.fromkeys(ids)])
+    return there.join(found, ["trace_id", "batch"], "left_semi")
+
+
+add("bloom_candidates", bloom_hits, f"SELECT DISTINCT trace_id, batch FROM spans WHERE trace_id IN ({', '.join(map(repr, [LOOKUP, *THREE[:2]]))})")
 add("bloom_probe_verified", lambda s: bloom.verify(s, bloom_candidates(s), "trace_id", LOOKUP), f"SELECT DISTINCT batch, trace_id FROM spans WHERE trace_id = '{LOOKUP}'")
 add(
     "bloom_root",
