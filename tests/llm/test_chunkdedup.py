@@ -116,5 +116,18 @@ def test_long_texts_null_keys_and_other_columns(spark):
     assert max(x.end - x.start for x in got) > 499_000 and sum(x.is_first for x in got) == 2
 
 
+def test_recall_of_passages_of_fifty_words(spark):
+    """Documents of the stored table that share 50 words on end with another one, against what is reported."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").split() for r in table.select("doc_id", "text").collect()}
+    seen = defaultdict(set)
+    for k, w in texts.items():
+        for i in range(len(w) - 49):
+            seen[hash(tuple(w[i : i + 50]))].add(k)
+    shared = set().union(*(v for v in seen.values() if len(v) > 1))
+    found = {r.doc_id for r in C.repeats(table).collect()}
+    assert len(shared) > 100 and len(shared & found) >= 0.99 * len(shared)
+
+
 def test_empty_table(spark):
     assert C.repeats(spark.createDataFrame([], "text string, doc_id long")).count() == 0

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def groups(values):
+def groups(values, distance=4):
     """values: (key, fingerprint); the smallest key of each component by brute force."""
     up = list(range(len(values)))
 
@@ -30,7 +31,7 @@ def groups(values):
 
     for i in range(len(values)):
         for j in range(i):
-            if (values[i][1] ^ values[j][1]).bit_count() <= 4:
+            if (values[i][1] ^ values[j][1]).bit_count() <= distance:
                 up[max(find(i), find(j))] = min(find(i), find(j))
     return [min((values[j][0] for j in range(len(values)) if find(j) == find(i) and values[j][0] is not None), default=None) for i in range(len(values))]
 
@@ -74,9 +75,9 @@ def test_links_connect_all_within_distance(spark):
     fps = sorted(fps)
     signed = [(int(np.uint64(x).astype(np.int64)),) for x in fps]
     df = spark.createDataFrame(signed, "fp long")
-    want = [g for g in groups([(f, f) for f in fps])]
-    for block in (simhash.BLOCK, 50, 7):  # anchors are split into blocks
-        found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in components(simhash.near_links(df, block)).collect()}
+    for block, distance in ((simhash.BLOCK, 4), (50, 4), (7, 4), (50, 5)):  # small blocks: anchors are split
+        want = groups([(f, f) for f in fps], distance)
+        found = {x.node & (2**64 - 1): x.root & (2**64 - 1) for x in components(simhash.near_links(df, block, distance)).collect()}
         for a in range(0, len(fps), 7):
             for b in range(len(fps)):
                 assert (found.get(fps[a], fps[a]) == found.get(fps[b], fps[b])) == (want[a] == want[b])
@@ -104,6 +105,11 @@ def test_query_matches_brute_force(spark, tmp_path):
     assert sorted((tuple(r) for r in registry.op8_simhash_anchor_covering(spark, str(tmp_path)).collect()), key=str) == want
 
 
+def test_larger_distances_are_refused(spark):
+    with pytest.raises(ValueError, match="5 bits"):
+        simhash.near_links(spark.range(3).withColumnRenamed("id", "fp"), distance=6)
+
+
 def test_every_pair_within_a_band_bit_meets():
     r = np.random.default_rng(1)
     fp = r.integers(0, 2**64, 200, dtype=np.uint64)

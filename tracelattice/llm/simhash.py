@@ -3,7 +3,8 @@
 Fingerprints: 64 bits, each set if it is set in over half the XXH64 hashes of a text's 4-word shingles.
 Links: fingerprints that differ in at most 4 bits.
 
-Covering: the 64 bits are cut into 3 bands, so linked fingerprints differ in at most 1 bit of some band.
+Covering: the 64 bits are cut into 3 bands, so fingerprints that differ in up to 5 bits differ in at most 1 bit
+of some band.
 In each band the anchors are a covering code: a Hamming code of length 15 on the band's first bits, times
 all values of the rest.  Every band value is within 1 bit (the covering radius) of its home anchor; a
 fingerprint is copied to every anchor within the radius plus 1 that can be the home of a value 1 bit away
@@ -33,6 +34,7 @@ from tracelattice.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4  # fixed values
 BANDS = ((0, 21), (21, 21), (42, 22))  # first bit and width
+MOST_DISTANCE = 2 * len(BANDS) - 1  # of so many differing bits one band has at most one
 CODE = 15  # length of the Hamming code, of 11 data bits
 BLOCK = 20_000  # rows of an anchor from which it is split
 DENSE = 48  # members from which a cell is walked instead of compared pairwise
@@ -172,7 +174,7 @@ class Forest:
         return a != b
 
 
-def walk(members: np.ndarray) -> Iterator[tuple[int, int]]:
+def walk(members: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[int, int]]:
     """Links that connect what is linked within a dense cell: each step compares one member with those
     that no step has reached yet, so a cell of close copies takes little more than one pass."""
     rest, queue = members, []
@@ -180,7 +182,7 @@ def walk(members: np.ndarray) -> Iterator[tuple[int, int]]:
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = np.bitwise_count(rest ^ x) <= DISTANCE
+        near = np.bitwise_count(rest ^ x) <= distance
         if near.any():
             found = rest[near]
             rest = rest[~near]
@@ -189,13 +191,13 @@ def walk(members: np.ndarray) -> Iterator[tuple[int, int]]:
             yield from ((x, int(y)) for y in found)
 
 
-def links_of(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest) -> list[tuple[int, int]]:
+def links_of(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest, distance: int) -> list[tuple[int, int]]:
     """Spanning links among whole cells, sorted by cell."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[starts, len(cell)])
     out = []
     for s, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist()):
-        out += [x for x in walk(np.unique(fp[s : s + n])) if forest.joins(*x)]
+        out += [x for x in walk(np.unique(fp[s : s + n]), distance) if forest.joins(*x)]
     small = np.repeat(sizes <= DENSE, sizes) & home
     a = np.flatnonzero(small)
     of = np.repeat(np.arange(len(starts)), sizes)[a]
@@ -206,12 +208,12 @@ def links_of(cell: np.ndarray, fp: np.ndarray, home: np.ndarray, forest: Forest)
         begin = np.cumsum(sizes[g]) - sizes[g]
         right = np.arange(len(left)) - np.repeat(begin, sizes[g]) + np.repeat(starts[g], sizes[g])
         u, v = fp[left], fp[right]
-        near = (np.bitwise_count(u ^ v) <= DISTANCE) & (u != v)
+        near = (np.bitwise_count(u ^ v) <= distance) & (u != v)
         out += [p for p in zip(u[near].tolist(), v[near].tolist()) if forest.joins(*p)]
     return out
 
 
-def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """Links (a, b) from rows sorted by cell; holds one cell and one batch at a time."""
     forest, held = Forest(), None
     emit = lambda found: pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in found], np.uint64).view(np.int64)) for k in (0, 1)], names=["a", "b"])
@@ -223,29 +225,33 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cut = int(np.searchsorted(held[0], held[0][-1]))  # the last cell may go on
         if cut:
-            yield emit(links_of(*(x[:cut] for x in held), forest))
+            yield emit(links_of(*(x[:cut] for x in held), forest, distance))
             held = tuple(x[cut:] for x in held)
     if held is not None and len(held[0]):
-        yield emit(links_of(*held, forest))
+        yield emit(links_of(*held, forest, distance))
 
 
-def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_links(fps: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column ``fp``) within the distance."""
+    if distance > MOST_DISTANCE:
+        raise ValueError(f"the bands cover {MOST_DISTANCE} bits at most")
     none = Splits([], block)
     count = lambda batches: (pa.RecordBatch.from_arrays([x.column(0), x.column(2)], names=["cell", "home"]) for x in to_cells(batches, none))
     sizes = fps.mapInArrow(count, "cell long, home boolean").groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
     many = sizes.where(F.col("rows") > block).select(F.shiftright("cell", 20), "homes", "rows").collect()  # at most 2^19 anchors
     splits = fps.sparkSession.sparkContext.broadcast(Splits([tuple(r) for r in many], block))
     cells = fps.mapInArrow(lambda batches: to_cells(batches, splits.value), "cell long, fp long, home boolean")
-    return cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(links, "a long, b long")
+    return cells.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(lambda batches: links(batches, distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(__rid, key, fp, component_id, first_rid): one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """(__rid, key, fp, component_id, first_rid): one row per row of ``docs``; fingerprints link at ``distance``
+    or fewer differing bits (``MOST_DISTANCE`` at most).
 
     ``component_id`` is the smallest key that can be reached, ``first_rid`` the row that has it.
     A null text is empty; texts without a word share fingerprint 0 and are linked.  Null keys come last:
-    a component of nothing else has a null id.  Repeated keys share a component only by their texts.
+    a component of nothing else has a null id.  Repeated keys share a component only by their texts.  A very
+    long text is one row of its task, hashed in parts of bounded size; other columns are left out.
     ``docs`` has a row identity ``__rid`` or gets one.  An empty table gives no rows.
     """
     if RID not in docs.columns:
@@ -253,7 +259,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     rows = scratch.materialise(fingerprints(docs.select(RID, F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))), "fingerprints")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", RID)).alias("first")
     each = scratch.materialise(rows.groupBy("fp").agg(first), "distinct")
-    roots = components(near_links(each.select("fp"))).withColumnRenamed("node", "fp")
+    roots = components(near_links(each.select("fp"), distance=distance)).withColumnRenamed("node", "fp")
     placed = scratch.materialise(each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
     best = scratch.materialise(placed.where("root is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
     named = scratch.materialise(placed.join(best, "root").select("fp", F.col("best.key").alias("component_id"), F.col(f"best.{RID}").alias("first_rid")), "named")
