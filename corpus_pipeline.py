@@ -1,4 +1,11 @@
-"""Documents to training tokens in five stages; each works on all that the one before it kept."""
+"""Documents to training tokens in five stages; each works on all that the one before it kept.
+
+Defined cases, for every stage: null or repeated doc_ids are rows of their own, and null texts are empty (they
+fail the quality rules); null ``lang``, ``source`` and ``n_chars`` are carried (a null source is the host '');
+very long texts are worked on whole; ties of a near-duplicate group go to the smallest doc_id, nulls last, then
+the row read first; columns beyond those of documents are left out, whatever their names; empty tables give no
+rows.  ``n_chars`` is the length of the text as it is after the stage.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +18,7 @@ from tracelattice.llm import bpe, decontaminate, quality, secrets, simhash
 from tracelattice.llm.common import RID, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+DISTANCE = simhash.MOST_DISTANCE  # near copies count as such up to what the operator's bands cover
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -32,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group stays."""
     rows = identified(docs)
-    first = simhash.near_duplicates(rows).where(F.col(RID) == F.col("first_rid")).select(RID)
+    first = simhash.near_duplicates(rows, distance=DISTANCE).where(F.col(RID) == F.col("first_rid")).select(RID)
     return rows.join(first, RID, "left_semi").select(*COLUMNS)
 
 
