@@ -6,7 +6,7 @@ from tests.llm import test_quality, test_simhash
 from tests.llm.test_bpe import LIBRARY
 from tests.llm.test_decontaminate import slow_align
 from tracelattice.llm import decontaminate as D
-from tracelattice.llm import quality, secrets
+from tracelattice.llm import quality, secrets, simhash
 
 
 def corpus():
@@ -39,7 +39,7 @@ def brute(rows, items):
     for row, v in zip(rows, verdicts):
         if v[-1]:
             kept.append((row[0], "\n".join(raw for raw, line, _ in test_quality.lines_of(row[1]) if (row[3] or "", line) not in many)))
-    groups = test_simhash.groups([(k, test_simhash.slow_fingerprint(t)) for k, t in kept], P.DISTANCE)
+    groups = test_simhash.groups([(k, test_simhash.slow_wide(t)) for k, t in kept], simhash.WIDE_DISTANCE)
     first, left = set(), []
     for (k, t), g in sorted(zip(kept, groups), key=lambda x: x[0][0]):
         if g not in first:

@@ -20,6 +20,29 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        w = w.replace(c, " ")
+    w = [x for x in w.split(" ") if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def slow_wide(text):
+    def mix(h, k):
+        z = (h + k * 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return z ^ z >> 31
+
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles(text)]
+    out = 0
+    for k in range(simhash.WIDE_WORDS):
+        each = [mix(x, k) if k else x for x in h]
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each))
+    return out
+
+
 def groups(values, distance=4):
     """values: (key, fingerprint); the smallest key of each component by brute force."""
     up = list(range(len(values)))
@@ -121,7 +144,81 @@ def test_every_pair_within_a_band_bit_meets():
         assert not missing, (bit, len(missing))
 
 
+def test_wide_fingerprints():
+    for t in texts():
+        assert sum(x << 64 * (3 - k) for k, x in enumerate(simhash.wide_fingerprint(t))) == slow_wide(t)
+
+
+def test_golay_anchors_cover_and_every_pair_within_the_margin_meets():
+    r = np.random.default_rng(1)
+    for n in (1, simhash.CROWD * 3):
+        chosen = simhash.bands(n)
+        fp = r.integers(0, 2**64, (40, simhash.WIDE_WORDS), dtype=np.uint64)
+        reach = lambda x: [(band, i, a, h) for band, c in enumerate(chosen) for rows, anchor, home in simhash.wide_anchors(x, [c]) for i, a, h in zip(rows.tolist(), anchor.tolist(), home.tolist())]  # noqa: E731,B023
+        homes = {(band, i, a) for band, i, a, h in reach(fp) if h}
+        assert len(homes) == 40 * len(chosen)  # one home in each band
+        for band, place in [(b, p) for b in range(len(chosen)) for p in chosen[b][: simhash.GOLAY : 5].tolist()]:
+            other = fp.copy()
+            other[:, place // 64] ^= np.uint64(1 << place % 64)
+            got = {(b, i, a) for b, i, a, _ in reach(other)}
+            assert {x for x in homes if x[0] == band} <= got
+    assert len(simhash.bands(10**9)) > len(simhash.bands(10**7)) > len(simhash.bands(10**5)) == len(simhash.bands(0))
+
+
+def test_wide_links_connect_what_is_within_distance(spark):
+    r = random.Random(5)
+    centre = [r.getrandbits(256) for _ in range(300)]
+    fps = set(centre)
+    for c in centre[:8]:
+        for _ in range(90):
+            x = c
+            for b in r.sample(range(256), r.randint(1, 16)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    signed = lambda x: int(np.uint64(x % 2**64).astype(np.int64))
+    df = spark.createDataFrame([(i, *(signed(x >> 64 * k) for k in (3, 2, 1, 0))) for i, x in enumerate(fps)], "node long, w0 long, w1 long, w2 long, w3 long")
+    want = groups(list(enumerate(fps)), simhash.WIDE_DISTANCE)
+    for block in (simhash.BLOCK, 30):  # small blocks: anchors are split
+        found = {x.node: x.root for x in components(simhash.wide_links(df, block)).collect()}
+        got = [found.get(i, i) for i in range(len(fps))]
+        first = {}
+        assert [first.setdefault(g, i) for i, g in enumerate(got)] == want
+
+
+def test_similar_finds_texts_that_share_most_shingles_and_no_others(spark):
+    r = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(2000)]
+    rows, pairs = [], []
+    for i in range(400):
+        base = [r.choice(vocabulary) for _ in range(r.choice((60, 150, 500)))]
+        near = list(base)
+        while True:  # edits of one word each, while 0.8 of the shingles are shared
+            more = list(near)
+            more[r.randrange(len(more))] = r.choice(vocabulary)
+            a, b = shingles(" ".join(base)), shingles(" ".join(more))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            near = more
+        rows += [(2 * i, " ".join(base), 1), (2 * i + 1, " \n".join(near).upper(), 2)]
+        pairs.append((2 * i, 2 * i + 1))
+    rows += [(900, None, 0), (901, "", 0), (902, "\t", 0), (None, "one", 0), (904, "ONE ", 0), (905, rows[0][1], 0), (905, rows[0][1], 0), (906, " ".join(r.choice(vocabulary) for _ in range(70000)), 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node long").repartition(5)
+    out = simhash.similar(df).collect()
+    assert len(out) == len(rows)
+    got = {x.doc_id: x.component_id for x in out}
+    caught = sum(got[a] == got[b] for a, b in pairs)
+    assert caught >= 0.9 * len(pairs)  # all of them just above 0.8, the hardest
+    groups_of = {}
+    for x in out:
+        groups_of.setdefault(x.component_id, set()).add(x.doc_id)
+    allowed = [{a, b} for a, b in pairs] + [{0, 1, 905}, {900, 901, 902}, {None, 904}, {906}]
+    assert all(any(g <= a for a in allowed) for g in groups_of.values())
+    assert got[900] == got[901] == got[902] == 900 and got[None] == got[904] == 904 and got[905] == got[0]
+
+
 def test_empty_table(spark):
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
     assert components(df.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))).count() == 0
