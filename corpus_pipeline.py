@@ -18,7 +18,6 @@ from tracelattice.llm import bpe, decontaminate, quality, secrets, simhash
 from tracelattice.llm.common import RID, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-DISTANCE = simhash.MOST_DISTANCE  # near copies count as such up to what the operator's bands cover
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -38,9 +37,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group stays."""
+    """The document of the smallest doc_id of each group of near copies (0.8 of their five-word shingles) stays."""
     rows = identified(docs)
-    first = simhash.near_duplicates(rows, distance=DISTANCE).where(F.col(RID) == F.col("first_rid")).select(RID)
+    first = simhash.similar(rows).where(F.col(RID) == F.col("first_rid")).select(RID)
     return rows.join(first, RID, "left_semi").select(*COLUMNS)
 
 
