@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelattice.session import dropping_shuffles  # noqa: F401
+
 WS = " \t\n\x0b\x0c\r"  # fixed value: the characters between words
 ROW, RID = "__row", "__rid"
 
@@ -41,17 +40,3 @@ def unpack(df: DataFrame, row_columns: list[str], added: dict[str, Column]) -> D
 
 def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c not in names]
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries within go when each ends, for jobs that write what they shuffle."""
-    earlier = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if earlier is None else spark.conf.set(CLEANUP, earlier)

@@ -273,7 +273,23 @@ c0 AS (SELECT batch, trace_id, parent_span_id AS p, string_agg(h, ',' ORDER BY h
 th AS (SELECT md5(service || '(' || coalesce(k, '') || ')') AS structure_hash, s.batch AS batch, s.trace_id AS trace_id
        FROM spans s LEFT JOIN c0 ON c0.trace_id = s.trace_id AND c0.p = s.span_id WHERE s.parent_span_id IS NULL)
 """
-add("structure_hash", lambda s: structure.structure_hashes(s, 4), _HASH_SQL + "SELECT structure_hash, batch, trace_id FROM th")
+
+
+PARTS = 4  # fixed value: parts of the traces that are hashed one after another; disk is about that much less
+
+
+def classes(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """The class table of the order spans (of those that ``where`` leaves), part by part."""
+    return structure.class_table([order_spans(spark, sf_dir, k, PARTS).where(where) for k in range(PARTS)], 4)
+
+
+def add_classes(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """Register a query over the class table of the order spans."""
+    QUERIES[name] = lambda spark, sf_dir: run(classes(spark, sf_dir))
+    ORACLES[name] = SPANS_SQL + sql
+
+
+add_classes("structure_hash", lambda h: h, _HASH_SQL + "SELECT structure_hash, batch, trace_id FROM th")
 add(
     "exemplars",
     lambda s: structure.exemplars(structure.structure_hashes(s, 4)),

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,3 +39,17 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries within go when each ends, for jobs that write what they shuffle."""
+    earlier = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if earlier is None else spark.conf.set(CLEANUP, earlier)

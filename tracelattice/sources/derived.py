@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One trace per order: order, its lines, each line's part, each part's supplier."""
-    t = lambda name: table(spark, sf_dir, name)
+def order_spans(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """One trace per order: order, its lines, each line's part, each part's supplier.
+
+    ``part`` of ``parts``: whole traces by a hash of the order, taken before anything is shuffled; every trace
+    is in one part."""
+    keys = {"orders": "o_orderkey", "lineitem": "l_orderkey"} if parts > 1 else {}
+    taken = lambda key: F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(parts)) == part
+    t = lambda name: table(spark, sf_dir, name).where(taken(keys[name])) if name in keys else table(spark, sf_dir, name)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     lines = t("lineitem").withColumn("seq", F.row_number().over(order)).alias("l")
     region = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey"))
