@@ -2,9 +2,10 @@ import random
 
 import pytest
 
-from tests.test_pattern import frame, span
+from tests.test_pattern import PATTERNS, frame, span
 from tracelattice.operators import structure
 from tracelattice.plans import catalogue
+from tracelattice.plans.planner import search
 from tracelattice.sources.derived import order_spans
 
 SF = "/root/testdata/sf0.001"
@@ -54,8 +55,17 @@ def test_hashing_shuffles_once(spark):
     assert structure.hashes_by_trace(df, 4)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["structure_hash"])
+@pytest.mark.parametrize("name", ["structure_hash", "class_pattern"])
 def test_nothing_is_shuffled_by_levels_any_more(spark, name):
     """Each part's shuffle files go before the next part; what is left over is over the written classes."""
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and plan.count("Exchange") <= 1
+
+
+def test_search_by_classes_reads_no_other_spans(spark):
+    df = frame(spark, forest())
+    hashes = structure.class_table([df], 4)
+    for p in PATTERNS:
+        assert sorted(map(tuple, search(df, p, hashes=hashes).collect())) == sorted(map(tuple, search(df, p).collect()))
+    p = PATTERNS[2]  # the pattern's four nodes twice, the exemplars' classes three times
+    assert search(df, p, hashes=hashes)._jdf.queryExecution().analyzed().collectLeaves().size() <= 11

@@ -166,9 +166,9 @@ def traces_by_class(spans: DataFrame, hashes: DataFrame, p: TracePattern) -> Dat
     return expand(hashes, matching_classes(spans, hashes, p))
 
 
-def unclassified(spans: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Traces that the class table lacks, as those that came after it was made."""
-    return spans.select(*KEYS).distinct().join(hashes.select(*KEYS), KEYS, "left_anti")
+def traces_without(spans: DataFrame, hashes: DataFrame, p: TracePattern) -> DataFrame:
+    """All traces of the classes whose exemplar lacks the pattern."""
+    return hashes.join(matching_classes(spans, hashes, p), "structure_hash", "left_anti").select(*KEYS)
 
 
 def trace_text(spans: DataFrame) -> DataFrame:

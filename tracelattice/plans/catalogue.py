@@ -19,6 +19,7 @@ from tracelattice.operators.indices.catalog import Catalog, intersect
 from tracelattice.operators.pattern import match
 from tracelattice.operators.predicates import predicate
 from tracelattice.plans.planner import label_counts, search
+from tracelattice.session import dropping_shuffles
 from tracelattice.sources import text
 from tracelattice.sources.derived import chain_spans, order_spans, table
 from tracelattice.sources.otlp import decode_otlp, encode_otlp
@@ -312,14 +313,19 @@ QUERIES["class_expand"] = class_expand
 ORACLES["class_expand"] = CHAIN_SQL + traces_sql(CHAIN)
 
 
-def class_pattern(spans: DataFrame) -> DataFrame:
-    hashes = scratch.materialise(structure.structure_hashes(spans, 4), "classes")
-    return search(spans, ONE_CALL, hashes=hashes)
-
-
-add("class_pattern", class_pattern, traces_sql(ONE_CALL))
+def class_search(spark: SparkSession, sf_dir: str, p: TracePattern, where: str = "true") -> DataFrame:
+    """Search by classes, part by part: each part matches its shapes once, on exemplars of its own."""
+    found = []
+    for k in range(PARTS):
+        spans = order_spans(spark, sf_dir, k, PARTS).where(where)
+        hashes = structure.class_table([spans], 4)
+        with dropping_shuffles(spark):
+            found.append(scratch.materialise(search(spans, p, hashes=hashes), "found"))
+    return reduce(DataFrame.unionByName, found)
 
 
+QUERIES["class_pattern"] = lambda spark, sf_dir: class_search(spark, sf_dir, ONE_CALL)
+ORACLES["class_pattern"] = SPANS_SQL + traces_sql(ONE_CALL)
 
 def class_orphans(spans: DataFrame) -> DataFrame:
     """Without the roots of finished orders, their lines are orphans; all of these are in the class."""

@@ -75,8 +75,8 @@ def search(
     if w is not None:
         anchor = anchor.join(traces_in_window(spans, w), KEYS, "left_semi")
     if hashes is not None:
-        by_class = structure.traces_by_class(rows, in_window(hashes, w), p).unionByName(structure.unclassified(rows, hashes))
-        anchor = anchor.join(by_class, KEYS, "left_semi")
+        # What has a class that lacks the pattern goes; so traces without a class stay, and no other span is read.
+        anchor = anchor.join(structure.traces_without(rows, in_window(hashes, w), p), KEYS, "left_anti")
     entries = catalog.entries() if catalog is not None else []
     found = [(from_index(spans, e, c, w), e) for c in conditions if catalog is not None and (e := catalog.find(c, entries))]
     if found:
