@@ -327,14 +327,10 @@ def class_search(spark: SparkSession, sf_dir: str, p: TracePattern, where: str =
 QUERIES["class_pattern"] = lambda spark, sf_dir: class_search(spark, sf_dir, ONE_CALL)
 ORACLES["class_pattern"] = SPANS_SQL + traces_sql(ONE_CALL)
 
-def class_orphans(spans: DataFrame) -> DataFrame:
-    """Without the roots of finished orders, their lines are orphans; all of these are in the class."""
-    left = spans.where("service <> 'order.F'")
-    return search(left, CALL_OF_PART, hashes=scratch.materialise(structure.structure_hashes(left, 4), "classes"))
-
-
+# Without the roots of finished orders, their lines are orphans; all of these are in the class.
 CALL_OF_PART = TracePattern({0: "line.AF", 1: "part.PROMO"}, [(0, 1)])
-add("class_orphans", class_orphans, traces_sql(CALL_OF_PART))
+QUERIES["class_orphans"] = lambda spark, sf_dir: class_search(spark, sf_dir, CALL_OF_PART, "service <> 'order.F'")
+ORACLES["class_orphans"] = SPANS_SQL + traces_sql(CALL_OF_PART)
 
 # Inverted index
 add("inverted_build", lambda s: inverted.build(s), "SELECT DISTINCT attr_key, attr_value, batch, trace_id FROM spans")
