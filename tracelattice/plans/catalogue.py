@@ -291,9 +291,9 @@ def add_classes(name: str, run: Callable[[DataFrame], DataFrame], sql: str) -> N
 
 
 add_classes("structure_hash", lambda h: h, _HASH_SQL + "SELECT structure_hash, batch, trace_id FROM th")
-add(
+add_classes(
     "exemplars",
-    lambda s: structure.exemplars(structure.structure_hashes(s, 4)),
+    structure.exemplars,
     _HASH_SQL + "SELECT structure_hash, m.batch AS batch, m.trace_id AS trace_id FROM (SELECT structure_hash, min(struct_pack(batch := batch, trace_id := trace_id)) AS m FROM th GROUP BY 1)",
 )
 add(
