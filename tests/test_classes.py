@@ -55,7 +55,7 @@ def test_hashing_shuffles_once(spark):
     assert structure.hashes_by_trace(df, 4)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["structure_hash", "exemplars", "class_pattern", "class_orphans"])
+@pytest.mark.parametrize("name", ["structure_hash", "exemplars", "class_sizes", "class_pattern", "class_orphans"])
 def test_nothing_is_shuffled_by_levels_any_more(spark, name):
     """Each part's shuffle files go before the next part; what is left over is over the written classes."""
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -296,9 +296,9 @@ add_classes(
     structure.exemplars,
     _HASH_SQL + "SELECT structure_hash, m.batch AS batch, m.trace_id AS trace_id FROM (SELECT structure_hash, min(struct_pack(batch := batch, trace_id := trace_id)) AS m FROM th GROUP BY 1)",
 )
-add(
+add_classes(
     "class_sizes",
-    lambda s: structure.structure_hashes(s, 4).groupBy("structure_hash").agg(F.count("*").alias("n_traces")),
+    lambda h: h.groupBy("structure_hash").agg(F.count("*").alias("n_traces")),
     _HASH_SQL + "SELECT structure_hash, count(*) AS n_traces FROM th GROUP BY 1",
 )
 
